@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "splits")
+MODULES = ("catalog", "splits", "ordinal", "metrics", "store", "attention")
 
 
 def load() -> None:

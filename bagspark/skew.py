@@ -278,3 +278,39 @@ def percentiles(
 def global_percentile(df: DataFrame, value: str, p: float, out: str) -> DataFrame:
     """One-row exact percentile over a whole column."""
     return percentiles(df.select(F.lit(0).alias("_g"), value), ["_g"], value, {out: p}).drop("_g")
+
+
+def extreme_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    tie: str,
+    size: Rank,
+    largest: bool = True,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The ``size(n)`` rows of each group with the largest (smallest) value, ties by ``tie``.
+
+    With a group above ``hot_rows`` the boundary value is selected first, and only the rows that
+    are equal to it are ranked, over sampled ranges.
+    """
+    keys = list(keys)
+    direction = F.desc if largest else F.asc
+    if largest_group(df, keys) <= hot_rows:
+        w = W.partitionBy(*keys)
+        ranked = df.withColumn("_rn", F.row_number().over(w.orderBy(direction(value), tie))).withColumn(
+            "_k", size(F.count(F.lit(1)).over(w))
+        )
+        return ranked.where(F.col("_rn") <= F.col("_k")).drop("_rn", "_k")
+    rank = (lambda n: n - size(n) + 1) if largest else size
+    bound = order_statistics(df, keys, value, {"_bound": rank}, hot_rows=hot_rows)
+    near = attach_stats(df, bound, keys, [value, tie], hot_rows=hot_rows)
+    better = near.where(F.col(value) > F.col("_bound") if largest else F.col(value) < F.col("_bound"))
+    taken = better.groupBy(*keys).agg(F.count(F.lit(1)).alias("_taken"))
+    room = bound.join(taken, keys, "left").select(
+        *keys, "n", (size(F.col("n")) - F.coalesce("_taken", F.lit(0))).alias("_room")
+    )
+    equal = near.where(F.col(value) == F.col("_bound")).drop("_bound", "n")
+    placed = ranged_prefix(equal, [tie], keys=keys, out="_p")
+    kept = attach_stats(placed, room, keys, [tie], hot_rows=hot_rows).where(F.col("_p") < F.col("_room"))
+    return better.select(*df.columns).unionByName(kept.select(*df.columns))
