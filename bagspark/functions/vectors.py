@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,13 +24,25 @@ def wrapped_slice(vec: Column, offset: Column, window: int) -> Column:
     return F.concat(F.slice(vec, offset + 1, F.lit(window)), F.slice(vec, F.lit(1), overflow))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also when ``body`` repeats it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def layer_norm(vec: Column, eps: float = 1e-5) -> Column:
     """(x - mean) / sqrt(population variance + eps), gain 1 and bias 0."""
-    x = as_double(vec)
-    n = F.size(x).cast("double")
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    var = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + F.lit(eps)))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    def centred(x: Column) -> Column:
+        return bind(total(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean))
+
+    def scaled(c: Column) -> Column:
+        variance = F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v) / F.size(c)
+        return bind(F.sqrt(variance + F.lit(eps)), lambda sd: F.transform(c, lambda v: v / sd))
+
+    return bind(as_double(vec), lambda x: bind(centred(x), scaled))
 
 
 def l2_norm(vec: Column) -> Column:

@@ -81,7 +81,8 @@ LOGICAL: dict[str, str] = {
                value / 3 AS encode_seconds, value / 30 AS grid_seconds, value / 300 AS write_seconds
         FROM events""",
     "trials": """
-        SELECT l_suppkey AS study, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS trial,
+        SELECT l_suppkey AS study,
+               CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS BIGINT) AS trial,
                l_linenumber AS step, avg(l_extendedprice) / 100000 AS score
         FROM lineitem
         GROUP BY l_suppkey, (year(l_shipdate) - 1995) * 12 + month(l_shipdate), l_linenumber""",
