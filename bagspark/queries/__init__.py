@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "splits", "ordinal", "metrics", "store", "attention", "history", "tiles")
+MODULES = ("catalog", "splits", "ordinal", "metrics", "store", "attention", "history", "tiles", "streams")
 
 
 def load() -> None:
