@@ -42,13 +42,13 @@ LOGICAL: dict[str, str] = {
         WHERE c_mktsegment <> 'MACHINERY'""",
     "patches": """
         SELECT l_suppkey AS slide_id,
-               (l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey AS patch_idx,
+               ((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576) * 64 + CAST(l_quantity AS BIGINT) AS patch_idx,
                (l_partkey % 24) * 448 AS x, (l_orderkey % 32) * 448 AS y,
                l_extendedprice / 15000 AS score
         FROM lineitem""",
     "map_scores": """
         SELECT l_suppkey AS slide_id,
-               (l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey AS patch_idx,
+               ((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576) * 64 + CAST(l_quantity AS BIGINT) AS patch_idx,
                unnest([0, 1, 2, 3]) AS k,
                unnest([l_extendedprice / 15000, l_quantity / 10, l_discount * 40, l_tax * 40]) AS score
         FROM lineitem""",
@@ -106,7 +106,7 @@ LOGICAL: dict[str, str] = {
 SPARK_LOGICAL: dict[str, str] = {
     "map_scores": """
         SELECT l_suppkey AS slide_id,
-               (l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey AS patch_idx,
+               ((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576) * 64 + CAST(l_quantity AS BIGINT) AS patch_idx,
                stack(4, 0, l_extendedprice / 15000, 1, l_quantity / 10,
                         2, l_discount * 40, 3, l_tax * 40) AS (k, score)
         FROM lineitem""",
