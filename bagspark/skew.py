@@ -185,6 +185,7 @@ def order_statistics(
     When no group exceeds ``hot_rows`` a ranking window does it in one shuffle. Otherwise the
     value range of each group is binned twice, each time counting with map-side combine and
     keeping only the bin that holds the wanted rank, so that little of a hot group is shuffled.
+    The located bins, a few rows per group, are written between the passes over the rows.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -203,7 +204,9 @@ def order_statistics(
 
     spread = ["_v"]
     size = F.count(F.lit(1))
-    sizes = base.groupBy(*keys).agg(size.alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    sizes = materialise(
+        base.groupBy(*keys).agg(size.alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "sizes"
+    )
     wanted = sizes.select(
         *keys,
         "n",
@@ -229,7 +232,7 @@ def order_statistics(
 
     entry = [size.alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     first = attach_stats(base, sizes, keys, spread, hot_rows=hot_rows).withColumn("_b1", bin_of("_lo", "_hi")).drop("_lo", "_hi", "n")
-    hit1 = locate(first.groupBy(*keys, "_b1").agg(*entry), wanted, keys, "_b1")
+    hit1 = materialise(locate(first.groupBy(*keys, "_b1").agg(*entry), wanted, keys, "_b1"), "hits")
 
     open1 = hit1.where(F.col("_lo") < F.col("_hi"))
     bounds1 = open1.groupBy(*keys, "_b1").agg(
@@ -238,8 +241,8 @@ def order_statistics(
     second = attach_stats(first, bounds1, [*keys, "_b1"], spread, n_col="_n1", hot_rows=hot_rows)
     second = second.withColumn("_b2", bin_of("_lo", "_hi")).drop("_lo", "_hi", "_n1")
     group2 = [*keys, "_b1"]
-    hit2 = locate(
-        second.groupBy(*group2, "_b2").agg(*entry), open1.drop("_c", "_lo", "_hi"), group2, "_b2"
+    hit2 = materialise(
+        locate(second.groupBy(*group2, "_b2").agg(*entry), open1.drop("_c", "_lo", "_hi"), group2, "_b2"), "hits"
     )
 
     open2 = hit2.where(F.col("_lo") < F.col("_hi"))
@@ -303,13 +306,12 @@ def extreme_rows(
         )
         return ranked.where(F.col("_rn") <= F.col("_k")).drop("_rn", "_k")
     rank = (lambda n: n - size(n) + 1) if largest else size
-    bound = order_statistics(df, keys, value, {"_bound": rank}, hot_rows=hot_rows)
+    bound = materialise(order_statistics(df, keys, value, {"_bound": rank}, hot_rows=hot_rows), "bounds")
     near = attach_stats(df, bound, keys, [value, tie], hot_rows=hot_rows)
     better = near.where(F.col(value) > F.col("_bound") if largest else F.col(value) < F.col("_bound"))
     taken = better.groupBy(*keys).agg(F.count(F.lit(1)).alias("_taken"))
-    room = bound.join(taken, keys, "left").select(
-        *keys, "n", (size(F.col("n")) - F.coalesce("_taken", F.lit(0))).alias("_room")
-    )
+    left = (size(F.col("n")) - F.coalesce("_taken", F.lit(0))).alias("_room")
+    room = materialise(bound.join(taken, keys, "left").select(*keys, "n", left), "room")
     equal = near.where(F.col(value) == F.col("_bound")).drop("_bound", "n")
     placed = ranged_prefix(equal, [tie], keys=keys, out="_p")
     kept = attach_stats(placed, room, keys, [tie], hot_rows=hot_rows).where(F.col("_p") < F.col("_room"))
