@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bagspark.functions.hashing import hash_uniform
+from bagspark.session import materialise
 from bagspark.skew import hash_rank
 
 DEFAULT_SEED = 20260820
@@ -82,8 +83,12 @@ def stratified_kfold(dev: DataFrame, n_folds: int = 5, seed: int = DEFAULT_SEED)
 def make_splits(
     labels: DataFrame, test_frac: float = 0.15, n_folds: int = 5, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """(patient_id, label, is_test, fold): a locked test set and k validation folds over the rest."""
-    held = stratified_holdout(labels, test_frac, seed)
+    """(patient_id, label, is_test, fold): a locked test set and k validation folds over the rest.
+
+    Labels and the holdout are written once, since counting and ranking each read them again.
+    """
+    labels = materialise(labels.select("patient_id", "label"), "labels")
+    held = materialise(stratified_holdout(labels, test_frac, seed), "holdout")
     dev = stratified_kfold(held.where(~F.col("is_test")), n_folds, seed)
     test = held.where("is_test").withColumn("fold", F.lit(None).cast("int"))
     return dev.unionByName(test).select("patient_id", "label", "is_test", "fold")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagspark.functions.hashing import hash_uniform
-from bagspark.skew import smallest_by_hash
+from bagspark.skew import attach_stats, smallest_by_hash
 
 # Property keys in order of preference, and pixel units in micrometres.
 MPP_KEYS = ("openslide.mpp-x", "aperio.MPP")
@@ -68,14 +68,20 @@ def tile_geometry(
     )
 
 
-def tile_grid(geom: DataFrame) -> DataFrame:
-    """One row per non-overlapping tile that lies fully inside, at least one per slide."""
+def sized_grid(geom: DataFrame) -> DataFrame:
+    """Adds the number of tile columns ``_nx`` and rows ``_ny``."""
     step = F.greatest("level0_px", F.lit(1))
 
     def count(size: str) -> Column:
         return F.greatest(F.floor((F.col(size) - step) / step) + 1, F.lit(1))
 
-    sized = geom.withColumns({"_nx": count("w0"), "_ny": count("h0")})
+    return geom.withColumns({"_nx": count("w0"), "_ny": count("h0")})
+
+
+def tile_grid(geom: DataFrame) -> DataFrame:
+    """One row per non-overlapping tile that lies fully inside, at least one per slide."""
+    step = F.greatest("level0_px", F.lit(1))
+    sized = sized_grid(geom)
     rows = sized.withColumn("_iy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ny") - 1)))
     cells = rows.withColumn("_ix", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nx") - 1)))
     return cells.select(
@@ -113,6 +119,49 @@ def tissue_fraction(joined: DataFrame, tissue_frac: float = 0.35) -> DataFrame:
     return share.withColumn("kept", F.col("fraction") >= tissue_frac)
 
 
+def tile_tissue(geom: DataFrame, mask: DataFrame, tissue_frac: float = 0.35) -> DataFrame:
+    """The same (slide_id, tile_idx, fraction, kept), computed from the kept pixels alone.
+
+    A pixel knows the tiles it falls under from the slide's step and ratio, so pixels are neither
+    joined nor shuffled before they are counted per tile; window sizes are arithmetic.
+    """
+    tiles = tile_grid(geom)
+    side = F.greatest(F.lit(1), F.bround(F.col("level0_px") * F.col("thumb_ratio")).cast("int"))
+
+    def start(at: Column) -> Column:
+        return F.floor(at * F.col("thumb_ratio")).cast("int")
+
+    def extent(at: str, limit: str) -> Column:
+        return F.greatest(F.least(start(F.col(at)) + side, F.col(limit)) - start(F.col(at)), F.lit(0))
+
+    kept_pixels = mask.where("keep").select("slide_id", "y", "x")
+    sizes = kept_pixels.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"))
+    shape = sized_grid(geom).join(sizes, "slide_id").withColumn("_side", side)
+    rows = attach_stats(kept_pixels, shape, ["slide_id"], ["y", "x"]).where("y < thumb_h AND x < thumb_w")
+    step = F.greatest("level0_px", F.lit(1))
+
+    def candidates(pixel: str, count: str) -> Column:
+        pitch = step * F.col("thumb_ratio")
+        lo = F.greatest(F.floor((F.col(pixel) - F.col("_side")) / pitch), F.lit(0))
+        hi = F.least(F.floor((F.col(pixel) + 1) / pitch), F.col(count) - 1)
+        return F.filter(
+            F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")),
+            lambda i: (start(i * step) <= F.col(pixel)) & (F.col(pixel) < start(i * step) + F.col("_side")),
+        )
+
+    hits = rows.select("slide_id", "_nx", candidates("x", "_nx").alias("_xs"), F.explode(candidates("y", "_ny")).alias("_iy"))
+    hits = hits.select("slide_id", "_nx", "_iy", F.explode("_xs").alias("_ix"))
+    counts = hits.groupBy("slide_id", (F.col("_iy") * F.col("_nx") + F.col("_ix")).alias("tile_idx")).agg(
+        F.count(F.lit(1)).alias("_kept")
+    )
+    area = extent("x", "thumb_w") * extent("y", "thumb_h")
+    sized = tiles.select("slide_id", "tile_idx", area.alias("_area")).where("_area > 0")
+    share = F.coalesce("_kept", F.lit(0)) / F.col("_area")
+    return sized.join(counts, ["slide_id", "tile_idx"], "left").select(
+        "slide_id", "tile_idx", share.alias("fraction"), (share >= tissue_frac).alias("kept")
+    )
+
+
 def cap_patches(tiles: DataFrame, max_patches: int, seed: int = 0) -> DataFrame:
     """At most ``max_patches`` tiles per slide: a seeded uniform subset."""
     keyed = tiles.withColumn("_u", hash_uniform(seed, "slide_id", "tile_idx"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bagspark.operators import splits as S
 from bagspark.queries.registry import query, tables
-from bagspark.session import scratch_path
+from bagspark.session import materialise, scratch_path
 from bagspark.sources.splits_io import load_splits as load
 from bagspark.sources.splits_io import write_splits as write
 
@@ -35,16 +35,17 @@ members AS (SELECT d.patient_id, f.fold, CASE WHEN f.fold = d.fold THEN 'val' EL
 
 
 def labels(spark, sf):
-    return S.majority_label(tables(spark, sf, "raw_labels"))
+    """Majority labels, written once: the split operators read them several times."""
+    return materialise(S.majority_label(tables(spark, sf, "raw_labels")), "labels")
 
 
 def splits(spark, sf):
-    return S.make_splits(labels(spark, sf))
+    return materialise(S.make_splits(S.majority_label(tables(spark, sf, "raw_labels"))), "splits")
 
 
 @query("majority_label", f"WITH {MAJORITY} SELECT * FROM labelled", "raw_labels")
 def majority_label(spark, sf):
-    return labels(spark, sf)
+    return S.majority_label(tables(spark, sf, "raw_labels"))
 
 
 @query(
@@ -74,7 +75,7 @@ def stratified_kfold(spark, sf):
     "raw_labels",
 )
 def fingerprint(spark, sf):
-    return S.fingerprint(S.stratified_holdout(labels(spark, sf)))
+    return S.fingerprint(materialise(S.stratified_holdout(labels(spark, sf)), "holdout"))
 
 
 def stored(spark, sf):

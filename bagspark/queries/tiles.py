@@ -116,7 +116,7 @@ def otsu_threshold(spark, sf):
 
 @query("tissue_mask", f"WITH RECURSIVE {MASK} SELECT slide_id, y, x, tissue FROM mask", "pixels")
 def tissue_mask(spark, sf):
-    return Ti.tissue_mask(tables(spark, sf, "pixels"), block=16).select("slide_id", "y", "x", "tissue")
+    return Ti.tissue_mask(tables(spark, sf, "pixels")).select("slide_id", "y", "x", "tissue")
 
 
 @query("tile_pixel_join", f"WITH {geo_sql(THUMB)}, {HSV}, pens AS (SELECT slide_id, y, x, ({PEN}) AS keep FROM hsv), {joined_sql('pens')} SELECT * FROM joined", "geometry pixels")
@@ -135,6 +135,17 @@ def tissue_fraction(spark, sf):
     return rounded(T.tissue_fraction(tile_pixel_join(spark, sf)), "fraction")
 
 
+@query(
+    "tile_tissue",
+    f"""WITH {geo_sql(THUMB)}, {HSV}, pens AS (SELECT slide_id, y, x, ({PEN}) AS keep FROM hsv), {joined_sql('pens')}
+        SELECT slide_id, tile_idx, round(avg(keep::INT), 6) + 0.0 AS fraction, avg(keep::INT) >= 0.35 AS kept FROM joined GROUP BY 1, 2""",
+    "geometry pixels",
+)
+def tile_tissue(spark, sf):
+    mask = Ti.pen_mask(tables(spark, sf, "pixels")).withColumnRenamed("pen", "keep")
+    return rounded(T.tile_tissue(sized(spark, sf, THUMB), mask), "fraction")
+
+
 def cap_sql(n):
     key = "md5(concat_ws('|', '11', slide_id, tile_idx))"
     return f"row_number() OVER (PARTITION BY slide_id ORDER BY CAST(('0x' || substr({key}, 1, 8)) AS BIGINT), tile_idx) <= {n}"

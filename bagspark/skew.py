@@ -1,7 +1,8 @@
 """Grouped primitives that stay balanced when one group holds a large share of all rows.
 
-None of them puts a whole group into one task. Group statistics are aggregates with map-side
-combine; they travel back to rows through :func:`attach_stats`, which splits the hot groups.
+None of them puts a whole hot group into one task. Group statistics are aggregates with map-side
+combine; they are written and travel back to rows through :func:`attach_stats`, which splits the
+hot groups. Building a frame may therefore run small jobs.
 Ranks come from bucket counts (hash order) or from sampled ranges (value order).
 """
 
@@ -26,30 +27,33 @@ def attach_stats(
     spread: Sequence[str],
     n_col: str = "n",
     hot_rows: int = HOT_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Inner-join one statistics row per group onto the rows of that group.
 
-    ``stats`` carries the group size in ``n_col``. A group of more than ``hot_rows`` rows is cut
+    ``stats`` carries the group size in ``n_col``. It is written first (unless ``written`` says it
+    already is): the aggregation then runs once, and Spark picks a broadcast or a shuffled join
+    from the real size of the table. When some group has more than ``hot_rows`` rows, it is cut
     into ``ceil(n / hot_rows)`` pieces by a hash of ``spread`` and its statistics row is repeated
     once per piece. The table of hot groups cannot exceed total_rows / hot_rows entries, so it is
-    safe to broadcast whatever the number of groups; the join itself is left to Spark's size check.
+    safe to broadcast whatever the number of groups.
     """
     keys = list(keys)
+    if not written:
+        stats = materialise(stats, "stats")
+    hot = stats.where(F.col(n_col) > hot_rows)
+    kept = stats.drop(n_col) if n_col in rows.columns else stats
+    if hot.isEmpty():
+        return rows.join(kept, keys)
     pieces = F.ceil(F.col(n_col) / F.lit(float(hot_rows))).cast("int")
-    hot = stats.where(F.col(n_col) > hot_rows).select(*keys, pieces.alias("_pieces"))
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
+    salted_rows = rows.join(F.broadcast(hot.select(*keys, pieces.alias("_pieces"))), keys, "left").withColumn(
         "_salt",
         F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*spread), F.col("_pieces").cast("bigint")).cast("int")
         ),
     ).drop("_pieces")
-    salted_stats = stats.withColumn(
-        "_salt",
-        F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)),
-    )
-    if n_col in rows.columns:
-        salted_stats = salted_stats.drop(n_col)
-    return salted_rows.join(salted_stats, [*keys, "_salt"]).drop("_salt")
+    salts = F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)).alias("_salt")
+    return salted_rows.join(stats.select(*kept.columns, salts), [*keys, "_salt"]).drop("_salt")
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -231,7 +235,7 @@ def order_statistics(
         )
 
     entry = [size.alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    first = attach_stats(base, sizes, keys, spread, hot_rows=hot_rows).withColumn("_b1", bin_of("_lo", "_hi")).drop("_lo", "_hi", "n")
+    first = attach_stats(base, sizes, keys, spread, hot_rows=hot_rows, written=True).withColumn("_b1", bin_of("_lo", "_hi")).drop("_lo", "_hi", "n")
     hit1 = materialise(locate(first.groupBy(*keys, "_b1").agg(*entry), wanted, keys, "_b1"), "hits")
 
     open1 = hit1.where(F.col("_lo") < F.col("_hi"))
@@ -307,12 +311,12 @@ def extreme_rows(
         return ranked.where(F.col("_rn") <= F.col("_k")).drop("_rn", "_k")
     rank = (lambda n: n - size(n) + 1) if largest else size
     bound = materialise(order_statistics(df, keys, value, {"_bound": rank}, hot_rows=hot_rows), "bounds")
-    near = attach_stats(df, bound, keys, [value, tie], hot_rows=hot_rows)
+    near = attach_stats(df, bound, keys, [value, tie], hot_rows=hot_rows, written=True)
     better = near.where(F.col(value) > F.col("_bound") if largest else F.col(value) < F.col("_bound"))
     taken = better.groupBy(*keys).agg(F.count(F.lit(1)).alias("_taken"))
     left = (size(F.col("n")) - F.coalesce("_taken", F.lit(0))).alias("_room")
     room = materialise(bound.join(taken, keys, "left").select(*keys, "n", left), "room")
     equal = near.where(F.col(value) == F.col("_bound")).drop("_bound", "n")
     placed = ranged_prefix(equal, [tie], keys=keys, out="_p")
-    kept = attach_stats(placed, room, keys, [tie], hot_rows=hot_rows).where(F.col("_p") < F.col("_room"))
+    kept = attach_stats(placed, room, keys, [tie], hot_rows=hot_rows, written=True).where(F.col("_p") < F.col("_room"))
     return better.select(*df.columns).unionByName(kept.select(*df.columns))
