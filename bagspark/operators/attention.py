@@ -83,10 +83,21 @@ def pooling_statistics(patches: DataFrame, fraction: float = 0.10) -> DataFrame:
     return plain.join(p90, keys).join(part(True, "top"), keys).join(part(False, "bottom"), keys)
 
 
+PARTIAL_LIMIT = 1000
+"""Up to this k Spark cuts a ranking window to k rows per group in every task before it shuffles."""
+
+
+def _top_k(df: DataFrame, keys: Sequence[str], k: int, rank: str) -> DataFrame:
+    """The k rows of each group with the largest alpha, numbered from 1, ties by patch_idx."""
+    if k > PARTIAL_LIMIT:
+        df = extreme_rows(df, keys, "alpha", "patch_idx", lambda n: F.least(F.lit(k), n))
+    order = W.partitionBy(*keys).orderBy(F.desc("alpha"), "patch_idx")
+    return df.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
+
+
 def top_regions(attn: DataFrame, k: int = 10, size: int = 448) -> DataFrame:
     """The k patches of each slide with the highest attention, ties by patch_idx."""
-    order = W.partitionBy("slide_id").orderBy(F.desc("alpha"), "patch_idx")
-    best = attn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = _top_k(attn, ["slide_id"], k, "rank")
     counts = attn.groupBy("slide_id").agg(_size())
     return best.join(counts, "slide_id").select(
         "slide_id", "rank", "patch_idx", "x", "y", F.lit(size).alias("size"),
@@ -291,8 +302,7 @@ def subspace_topk_overlap(maps: DataFrame, k: int = 30) -> DataFrame:
 
     A patch in c of the sets is shared by c(c-1)/2 pairs, so counting c per patch suffices.
     """
-    order = W.partitionBy(*MAP_KEYS).orderBy(F.desc("alpha"), "patch_idx")
-    best = maps.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    best = _top_k(maps, MAP_KEYS, k, "_rank")
     shared = best.groupBy("slide_id", "patch_idx").agg(F.count(F.lit(1)).alias("c"))
     common = shared.groupBy("slide_id").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("common"))
     sizes = maps.groupBy(*MAP_KEYS).agg(_size()).groupBy("slide_id").agg(

@@ -146,11 +146,12 @@ def merge_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -
     Rounds of minimum-over-neighbours, hooking of roots and pointer jumping; each round is written
     out, and the loop ends at the fix-point. Raises if ``max_rounds`` do not suffice.
     """
-    both = edges.select("slide_id", "a", "b").unionByName(edges.select("slide_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.distinct(), "edges")
-    labels = materialise(nodes.select("slide_id", "comp", F.col("comp").alias("root")), "labels")
-    if both.isEmpty():
+    edges = materialise(edges.select("slide_id", "a", "b").distinct(), "edges")
+    labels = nodes.select("slide_id", "comp", F.col("comp").alias("root"))
+    if edges.isEmpty():
         return labels
+    both = edges.unionByName(edges.select("slide_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = materialise(labels, "labels")
     for _ in range(max_rounds):
         seen = both.join(labels.select("slide_id", F.col("comp").alias("b"), F.col("root").alias("_m")), ["slide_id", "b"])
         low = seen.groupBy("slide_id", F.col("a").alias("comp")).agg(F.min("_m").alias("_m"))
@@ -182,7 +183,7 @@ def connected_components(mask: DataFrame, block: int = 128) -> tuple[DataFrame,
     step_x = here.where(F.col("x") % block == block - 1).withColumn("x", F.col("x") + 1)
     step_y = here.where(F.col("y") % block == block - 1).withColumn("y", F.col("y") + 1)
     there = pixels.where((F.col("x") % block == 0) | (F.col("y") % block == 0)).select("slide_id", "y", "x", F.col("comp").alias("b"))
-    edges = step_x.unionByName(step_y).join(there, ["slide_id", "y", "x"]).select("slide_id", "a", "b").distinct()
+    edges = step_x.unionByName(step_y).join(there, ["slide_id", "y", "x"])
     return pixels, merge_components(pixels.select("slide_id", "comp").distinct(), edges)
 
 

@@ -160,11 +160,13 @@ def gated_scores(patches: DataFrame, weights: Weights, stride: int = 64, n_offse
 
 
 def slide_bags(
-    patches: DataFrame, models: Sequence[Weights], stride: int = 64, n_offsets: int | None = None
+    patches: DataFrame, models: Sequence[Weights], stride: int = 64, n_offsets: int | None = None, clustered: bool = False
 ) -> DataFrame:
     """(slide_id, model, offset_no, bag): layer-normed vectors under softmax attention, branch mean.
 
     Partitions are sorted by slide locally, so a task sends one sum per (slide, map) it saw.
+    ``clustered`` skips that sort for rows that come slide by slide, as the feature store writes
+    them; the result is the same either way.
     """
     _check_size(models)
     slide_type = patches.schema["slide_id"].dataType.simpleString()
@@ -208,7 +210,8 @@ def slide_bags(
         for frame in run(batches):
             yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
-    partial = patches.select("slide_id", "features").sortWithinPartitions("slide_id").mapInArrow(run_arrow, schema)
+    narrow = patches.select("slide_id", "features")
+    partial = (narrow if clustered else narrow.sortWithinPartitions("slide_id")).mapInArrow(run_arrow, schema)
     per_map = partial.groupBy("slide_id", "model", "offset_no", "branch").agg(
         F.sum("mass").alias("mass"), Summarizer.sum(array_to_vector("total"), F.lit(1.0)).alias("total")
     )
@@ -248,10 +251,11 @@ def patch_attention(
 
 
 def score_slides(
-    patches: DataFrame, models: Sequence[Weights], stride: int = 64, n_offsets: int | None = None, n_classes: int = 3
+    patches: DataFrame, models: Sequence[Weights], stride: int = 64, n_offsets: int | None = None, n_classes: int = 3,
+    clustered: bool = False,
 ) -> DataFrame:
     """One prediction record per slide: logits averaged over offsets, cumulative over models."""
-    logits = mlp_head(slide_bags(patches, models, stride, n_offsets), models)
+    logits = mlp_head(slide_bags(patches, models, stride, n_offsets, clustered), models)
     mean = F.array(*[F.avg(F.col("logits")[j]) for j in range(n_classes - 1)]).alias("logits")
     per_model = logits.groupBy("slide_id", "model").agg(mean)
     cums = per_model.select("slide_id", "model", ordinal.corn_cumulative("logits").alias("cumulative"))

@@ -417,21 +417,70 @@ def slide_bags(spark, sf):
     return rows.select("slide_id", "offset_no", "dim", (F.round("v", 5) + 0.0).alias("value"))
 
 
-@query("mlp_head")
+def head_sql(source, model, key):
+    """Logits z0, z1 per ``key`` of a long (key, dim, v) source; erf by its power series."""
+
+    def w(layer, i, j, scale):
+        return f"((({i}) * 31 + ({j}) * 17 + {layer * 7 + model * 3}) % 201 - 100) / {scale}e0"
+
+    erf = "1.1283791670955126e0 * list_sum(list_transform(range(0, 60), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(u / sqrt(2), 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))"
+    return f"""u{model} AS (SELECT {key}, h, sum(v * {w(3, 'dim', 'h', 1000)}) AS u FROM {source}, (SELECT unnest(range(0, {HIDDEN})) AS h) hh GROUP BY ALL),
+g{model} AS (SELECT {key}, h, 0.5e0 * u * (1 + {erf}) AS g FROM u{model}),
+head{model} AS (SELECT {key}, {model} AS model, sum(g * {w(4, 'h', '0', 50)}) AS z0, sum(g * {w(4, 'h', '1', 50)}) AS z1 FROM g{model} GROUP BY {key})"""
+
+
+def score_sql(*models):
+    parts = [f"{NORMED}"]
+    for m in models:
+        parts.append(sub_sql(m))
+        parts.append(f"bag{m} AS (SELECT slide_id, k, dim, sum(alpha * h) AS v FROM normed JOIN sub{m} USING (slide_id, patch_idx) GROUP BY ALL)")
+        parts.append(head_sql(f"bag{m}", m, "slide_id, k"))
+    heads = " UNION ALL ".join(f"SELECT slide_id, model, avg(z0) AS z0, avg(z1) AS z1 FROM head{m} GROUP BY slide_id, model" for m in models)
+    return f"""{', '.join(parts)}, pm AS ({heads}),
+pc AS (SELECT slide_id, 1 / (1 + exp(-z0)) AS c0, 1 / (1 + exp(-z0)) * (1 / (1 + exp(-z1))) AS c1 FROM pm),
+en AS (SELECT slide_id, avg(c0) AS c0, avg(c1) AS c1, (stddev_samp(c0) + stddev_samp(c1)) / 2 AS spread_samp,
+              (stddev_pop(c0) + stddev_pop(c1)) / 2 AS spread_pop FROM pc GROUP BY slide_id),
+graded AS (SELECT *, CASE WHEN c0 > 0.5 THEN 1 ELSE 0 END + CASE WHEN c1 > 0.5 THEN 1 ELSE 0 END AS grade,
+                  (c0 - c1) + 2 * c1 AS expected_grade, 0.5e0 - least(abs(c0 - 0.5), abs(c1 - 0.5)) AS ambiguity FROM en),
+rec AS (SELECT *, CASE grade WHEN 0 THEN 1 - c0 WHEN 1 THEN c0 - c1 ELSE c1 END AS confidence FROM graded)"""
+
+
+@query(
+    "mlp_head",
+    f"""WITH {LONG}, pooled AS (SELECT slide_id, dim, avg(v) AS v FROM long GROUP BY slide_id, dim), {head_sql('pooled', 0, 'slide_id')}
+        SELECT slide_id, round(z0, 6) + 0.0 AS z0, round(z1, 6) + 0.0 AS z1 FROM head0""",
+    "patches_vec",
+)
 def mlp_head(spark, sf):
     bags = A.mean_pool(vectors(spark, sf)).withColumn("model", F.lit(0))
     logits = S.mlp_head(bags, [fixture_weights(0)])
     return logits.select("slide_id", *[r6(F.col("logits")[j]).alias(f"z{j}") for j in range(2)])
 
 
-@query("score_slides")
+@query(
+    "score_slides",
+    f"""WITH {score_sql(0, 1)} SELECT slide_id, CAST(grade AS INT) AS grade, round(expected_grade, 6) + 0.0 AS expected_grade,
+        round(confidence, 6) + 0.0 AS confidence, round(ambiguity, 6) + 0.0 AS ambiguity, round(spread_samp, 6) + 0.0 AS spread_samp,
+        round(spread_pop, 6) + 0.0 AS spread_pop, round(c0, 6) + 0.0 AS c0, round(c1, 6) + 0.0 AS c1 FROM rec""",
+    "patches_vec",
+)
 def score_slides(spark, sf):
     df = S.score_slides(vectors(spark, sf), [fixture_weights(0), fixture_weights(1)], STRIDE)
     names = ["expected_grade", "confidence", "ambiguity", "spread_samp", "spread_pop"]
     return rounded(df, *names).select("slide_id", "grade", *names, *[r6(F.col("cumulative")[j]).alias(f"c{j}") for j in range(2)])
 
 
-@query("review_list")
+@query(
+    "review_list",
+    f"""WITH {score_sql(0, 1)},
+        a AS (SELECT slide_id, patch_idx, avg(alpha) AS alpha FROM (SELECT * FROM sub0 UNION ALL SELECT * FROM sub1) s GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY alpha DESC, patch_idx) AS rank, count(*) OVER (PARTITION BY slide_id) AS n FROM a)
+        SELECT slide_id, CAST(grade AS INT) AS grade, round(confidence, 6) + 0.0 AS confidence, round(ambiguity, 6) + 0.0 AS ambiguity,
+               CAST(rank AS INT) AS rank, patch_idx, (patch_idx % 24) * 448 AS x, CAST(floor(patch_idx / 24) * 448 AS BIGINT) AS y,
+               round(alpha, 9) + 0.0 AS attention, round(alpha * n, 6) + 0.0 AS share_of_slide
+        FROM r JOIN rec USING (slide_id) WHERE rank <= 5""",
+    "patches_vec",
+)
 def review_list(spark, sf):
     """Grade, confidence, ambiguity and the five patches to look at first, for every slide."""
     rows = vectors(spark, sf)
@@ -440,8 +489,8 @@ def review_list(spark, sf):
     attn = S.patch_attention(rows, models, STRIDE).withColumns(
         {"x": (F.col("patch_idx") % 24) * 448, "y": F.floor(F.col("patch_idx") / 24) * 448}
     )
-    regions = A.top_regions(attn, 5).drop("size")
-    return graded.join(regions, "slide_id")
+    regions = A.top_regions(attn, 5).drop("size").withColumn("attention", F.round("attention", 9) + 0.0)
+    return rounded(graded.join(regions, "slide_id"), "confidence", "ambiguity", "share_of_slide")
 
 
 def audit_sql(model, arm):

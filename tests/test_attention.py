@@ -55,6 +55,8 @@ def reference(x, models):
 def test_score_slides_matches_numpy(bags, models):
     df, data = bags
     out = {r["slide_id"]: r for r in S.score_slides(df.repartition(5), models, STRIDE).collect()}
+    loose = {r["slide_id"]: r for r in S.score_slides(df.repartition(3), models, STRIDE, clustered=True).collect()}
+    assert all(np.allclose(loose[s]["cumulative"], out[s]["cumulative"]) for s in data)
     attn = {}
     for r in S.patch_attention(df, models, STRIDE).collect():
         attn.setdefault(r["slide_id"], {})[r["patch_idx"]] = r["alpha"]
