@@ -23,13 +23,16 @@ def _size() -> Column:
     return F.count(F.lit(1)).alias("n")
 
 
-def masked_softmax(scores: DataFrame, keys: Sequence[str] = MAP_KEYS, score: str = "score") -> DataFrame:
-    """Adds ``alpha``: softmax over the patches of each map."""
+def masked_softmax(
+    scores: DataFrame, keys: Sequence[str] = MAP_KEYS, score: str = "score", with_size: bool = False
+) -> DataFrame:
+    """Adds ``alpha``: softmax over the patches of each map, and on request ``n``, their number."""
     peak = scores.groupBy(*keys).agg(F.max(score).alias("_peak"), _size())
     shifted = attach_stats(scores, peak, keys, ["patch_idx"]).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
     mass = shifted.groupBy(*keys).agg(F.sum("_e").alias("_mass"), _size())
     rows = attach_stats(shifted.drop("_peak", "n"), mass, keys, ["patch_idx"])
-    return rows.withColumn("alpha", F.col("_e") / F.col("_mass")).drop("_e", "_mass", "n")
+    rows = rows.withColumn("alpha", F.col("_e") / F.col("_mass")).drop("_e", "_mass")
+    return rows if with_size else rows.drop("n")
 
 
 def normalised_sigmoid(scores: DataFrame, keys: Sequence[str] = MAP_KEYS, score: str = "score") -> DataFrame:
@@ -96,10 +99,14 @@ def _top_k(df: DataFrame, keys: Sequence[str], k: int, rank: str) -> DataFrame:
 
 
 def top_regions(attn: DataFrame, k: int = 10, size: int = 448) -> DataFrame:
-    """The k patches of each slide with the highest attention, ties by patch_idx."""
+    """The k patches of each slide with the highest attention, ties by patch_idx.
+
+    A column ``n`` with the number of patches of the slide saves counting them.
+    """
     best = _top_k(attn, ["slide_id"], k, "rank")
-    counts = attn.groupBy("slide_id").agg(_size())
-    return best.join(counts, "slide_id").select(
+    if "n" not in attn.columns:
+        best = best.join(attn.groupBy("slide_id").agg(_size()), "slide_id")
+    return best.select(
         "slide_id", "rank", "patch_idx", "x", "y", F.lit(size).alias("size"),
         F.col("alpha").alias("attention"), (F.col("alpha") * F.col("n")).alias("share_of_slide"),
     )
@@ -253,36 +260,54 @@ def anchor_kl(maps: DataFrame, target: str = "target", pred: str = "pred") -> Da
 def pairwise_maps(maps: DataFrame) -> DataFrame:
     """(slide_id, a, b, n, cosine, correlation) for every unordered pair of a slide's maps.
 
-    Patches carry their maps as one array; tasks add up Gram matrices of consecutive patches of a
-    slide and only those are shuffled, never a pair of patch rows. All patches need all maps.
+    Rows are brought together by patch and ordered by slide within a task, which adds up the Gram
+    matrix of each run of patches of a slide; only these sums are shuffled again, never a pair of
+    patch rows. Every patch of a slide needs all of its maps.
     """
-    wide = maps.groupBy("slide_id", "patch_idx").agg(
-        F.array_sort(F.collect_list(F.struct("k", F.col("alpha").cast("double").alias("alpha")))).alias("m")
-    )
-    wide = wide.select("slide_id", F.col("m.k").alias("ks"), F.col("m.alpha").alias("values")).sortWithinPartitions("slide_id")
     slide_type = maps.schema["slide_id"].dataType.simpleString()
     k_type = maps.schema["k"].dataType.simpleString()
+    ordered = (
+        maps.select("slide_id", "patch_idx", "k", F.col("alpha").cast("double").alias("alpha"))
+        .repartition("slide_id", "patch_idx")
+        .sortWithinPartitions("slide_id", "patch_idx", "k")
+    )
 
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for slide, rows in batch.groupby("slide_id", sort=False):
-                ks = np.asarray(rows["ks"].iloc[0])
-                data = np.stack(rows["values"].to_numpy())
-                dots, sums = data.T @ data, data.sum(axis=0)
-                i, j = np.triu_indices(len(ks), 1)
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "slide_id": slide, "a": ks[i], "b": ks[j], "n": len(data), "ab": dots[i, j],
-                            "aa": dots[i, i], "bb": dots[j, j], "sa": sums[i], "sb": sums[j],
-                        }
-                    )
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        slides, ks, values = (rows[c].to_numpy() for c in ("slide_id", "k", "alpha"))
+        edges = np.flatnonzero(np.r_[True, slides[1:] != slides[:-1], True])
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            names = np.unique(ks[lo:hi])
+            if (hi - lo) % len(names) or (ks[lo:hi].reshape(-1, len(names)) != names).any():
+                raise ValueError(f"slide {slides[lo]}: some patches lack some of the maps")
+            data = values[lo:hi].reshape(-1, len(names))
+            dots, total = data.T @ data, data.sum(axis=0)
+            i, j = np.triu_indices(len(names), 1)
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "slide_id": slides[lo], "a": names[i], "b": names[j], "n": len(data), "ab": dots[i, j],
+                        "aa": dots[i, i], "bb": dots[j, j], "sa": total[i], "sb": total[j],
+                    }
                 )
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            )
+        return pd.concat(parts, ignore_index=True)
 
-    partial = wide.mapInPandas(
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = (rows["slide_id"] == rows["slide_id"].iloc[-1]) & (rows["patch_idx"] == rows["patch_idx"].iloc[-1])
+            cut = int(np.argmax(last.to_numpy()))
+            if cut:
+                yield sums(rows.iloc[:cut])
+            held = rows.iloc[cut:]
+        if held is not None:
+            yield sums(held)
+
+    partial = ordered.mapInPandas(
         gram,
         f"slide_id {slide_type}, a {k_type}, b {k_type}, n bigint, ab double, aa double, bb double, sa double, sb double",
     )

@@ -39,7 +39,7 @@ def corn_loss_soft(
     df: DataFrame, n_classes: int = 3, targets: str = "cum_targets", logits: str = "logits"
 ) -> DataFrame:
     """Cross-entropy on the cumulative probabilities themselves, for soft targets."""
-    cum = ordinal.corn_cumulative(logits)
+    cum = ordinal.corn_cumulative(logits, n_classes)
     terms = []
     for j in range(n_classes - 1):
         p = F.least(F.greatest(F.get(cum, F.lit(j)), F.lit(1e-6)), F.lit(1 - 1e-6))

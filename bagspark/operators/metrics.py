@@ -171,12 +171,12 @@ def ensemble_predict(model_cums: DataFrame, n_classes: int = 3, key: str = "slid
     )
 
 
-def prediction_record(df: DataFrame, cum_col: str = "cumulative") -> DataFrame:
+def prediction_record(df: DataFrame, cum_col: str = "cumulative", n_classes: int | None = None) -> DataFrame:
     """Adds grade, probabilities, expected_grade, confidence, ambiguity and posterior entropy."""
     probs = F.col("probabilities")
     return (
-        df.withColumn("probabilities", ordinal.corn_class_probs(cum_col))
-        .withColumn("grade", ordinal.corn_predict(cum_col))
+        df.withColumn("probabilities", ordinal.corn_class_probs(cum_col, n_classes))
+        .withColumn("grade", ordinal.corn_predict(cum_col, n_classes=n_classes))
         .withColumns(
             {
                 "expected_grade": ordinal.expected_grade(probs),

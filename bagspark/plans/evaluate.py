@@ -26,7 +26,7 @@ def evaluate_locked(
     truth = splits.where("is_test").select("patient_id", F.col("label").alias("y_true"))
     test = model_cums.join(truth.select("patient_id"), "patient_id", "left_semi")
     preds = ensemble_predict(test, n_classes, key="patient_id").join(truth, "patient_id")
-    preds = preds.withColumn("y_pred", ordinal.corn_predict("cumulative"))
+    preds = preds.withColumn("y_pred", ordinal.corn_predict("cumulative", n_classes=n_classes))
     one = F.lit(1).alias("_one")
     row = grading_metrics(preds, n_classes).select("*", one)
     extra = preds.agg(F.avg("spread_samp").alias("mean_spread"), F.max("n_models").alias("n_models"), one)

@@ -238,7 +238,8 @@ def mlp_head(bags: DataFrame, models: Sequence[Weights]) -> DataFrame:
 def patch_attention(
     patches: DataFrame, models: Sequence[Weights], stride: int = 64, n_offsets: int | None = None
 ) -> DataFrame:
-    """(slide_id, patch_idx, alpha): softmax maps averaged over branches, offsets and models, sum 1."""
+    """(slide_id, patch_idx, n, alpha): softmax maps averaged over branches, offsets and models, sum 1;
+    ``n`` is the number of patches of the slide."""
     shift = max(m.bound for m in models)
     scored = score_arrays(patches, models, stride, n_offsets)
     scored = scored.select("slide_id", "patch_idx", F.transform("scores", lambda s: F.exp(s - F.lit(shift))).alias("e"))
@@ -247,7 +248,7 @@ def patch_attention(
     ).select("slide_id", vector_to_array("mass").alias("mass"), "n")
     rows = attach_stats(scored, mass, ["slide_id"], ["patch_idx"])
     shares = F.zip_with("e", "mass", lambda e, m: e / m)
-    return rows.select("slide_id", "patch_idx", (ordinal.array_sum(shares) / F.size("e")).alias("alpha"))
+    return rows.select("slide_id", "patch_idx", "n", (ordinal.array_sum(shares) / F.size("e")).alias("alpha"))
 
 
 def score_slides(
@@ -258,8 +259,8 @@ def score_slides(
     logits = mlp_head(slide_bags(patches, models, stride, n_offsets, clustered), models)
     mean = F.array(*[F.avg(F.col("logits")[j]) for j in range(n_classes - 1)]).alias("logits")
     per_model = logits.groupBy("slide_id", "model").agg(mean)
-    cums = per_model.select("slide_id", "model", ordinal.corn_cumulative("logits").alias("cumulative"))
-    return prediction_record(ensemble_predict(cums, n_classes))
+    cums = per_model.select("slide_id", "model", ordinal.corn_cumulative("logits", n_classes).alias("cumulative"))
+    return prediction_record(ensemble_predict(cums, n_classes), n_classes=n_classes)
 
 
 def subspace_maps(patches: DataFrame, weights: Weights, stride: int = 64) -> DataFrame:

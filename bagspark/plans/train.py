@@ -110,7 +110,7 @@ def _cv_predictions(rows: DataFrame, folds: list[int], n_classes: int, options:
     for part in parts[1:]:
         scored = scored.unionByName(part)
     return scored.select(
-        "slide_id", "fold", F.col("label").alias("y_true"), ordinal.corn_predict("cumulative").alias("y_pred"), "cumulative"
+        "slide_id", "fold", F.col("label").alias("y_true"), ordinal.corn_predict("cumulative", n_classes=n_classes).alias("y_pred"), "cumulative"
     )
 
 
@@ -233,5 +233,5 @@ def instance_pool(
         part = score(pooled.where(F.col("fold") == fold))
         parts = part if parts is None else parts.unionByName(part)
     return parts.select(
-        "slide_id", "fold", F.col("label").alias("y_true"), ordinal.corn_predict("cumulative").alias("y_pred"), "cumulative"
+        "slide_id", "fold", F.col("label").alias("y_true"), ordinal.corn_predict("cumulative", n_classes=n_classes).alias("y_pred"), "cumulative"
     )

@@ -28,9 +28,9 @@ def maps(spark, sf):
     return A.masked_softmax(tables(spark, sf, "map_scores")).drop("score")
 
 
-def attention(spark, sf):
+def attention(spark, sf, with_size=False):
     """One softmax map per slide with coordinates."""
-    return A.masked_softmax(tables(spark, sf, "patches"), ["slide_id"]).drop("score")
+    return A.masked_softmax(tables(spark, sf, "patches"), ["slide_id"], with_size=with_size).drop("score")
 
 
 @query("masked_softmax", f"WITH {SOFTMAX} SELECT slide_id, patch_idx, k, round(alpha, 9) + 0.0 AS alpha FROM maps", "map_scores")
@@ -100,7 +100,7 @@ def pooling_statistics(spark, sf):
     "patches",
 )
 def top_regions(spark, sf):
-    df = A.top_regions(attention(spark, sf), 10)
+    df = A.top_regions(attention(spark, sf, with_size=True), 10)
     return rounded(df, "share_of_slide").withColumn("attention", F.round("attention", 9) + 0.0)
 
 
@@ -401,7 +401,7 @@ sub{model} AS (SELECT slide_id, patch_idx, offset_no AS k, avg(a) AS alpha FROM
 )
 def patch_attention(spark, sf):
     df = S.patch_attention(vectors(spark, sf), [fixture_weights(0), fixture_weights(1)], STRIDE)
-    return df.withColumn("alpha", F.round("alpha", 9) + 0.0)
+    return df.drop("n").withColumn("alpha", F.round("alpha", 9) + 0.0)
 
 
 @query(

@@ -165,7 +165,7 @@ def patient_models(spark, sf):
     )
     z0 = F.col("z0") + 1 + F.col("model") * 0.3
     z1 = F.col("z1") + 0.5 - F.col("model") * 0.1
-    crops = rows.select("patient_id", "model", O.corn_cumulative(F.array(z0, z1)).alias("cumulative"))
+    crops = rows.select("patient_id", "model", O.corn_cumulative(F.array(z0, z1), 3).alias("cumulative"))
     return M.crop_average(crops, key="patient_id")
 
 

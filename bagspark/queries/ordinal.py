@@ -21,11 +21,11 @@ def predictions(spark, sf):
 
 
 def with_cumulative(spark, sf):
-    return predictions(spark, sf).withColumn("cumulative", O.corn_cumulative("logits"))
+    return predictions(spark, sf).withColumn("cumulative", O.corn_cumulative("logits", 3))
 
 
 def with_records(spark, sf):
-    return M.prediction_record(with_cumulative(spark, sf))
+    return M.prediction_record(with_cumulative(spark, sf), n_classes=3)
 
 
 @query(
@@ -44,13 +44,13 @@ def corn_cumulative(spark, sf):
     "predictions",
 )
 def corn_class_probs(spark, sf):
-    df = with_cumulative(spark, sf).withColumn("p", O.corn_class_probs("cumulative"))
+    df = with_cumulative(spark, sf).withColumn("p", O.corn_class_probs("cumulative", 3))
     return df.select("id", *[r6(F.col("p")[k]).alias(f"p{k}") for k in range(3)])
 
 
 @query("corn_predict", f"WITH {CUM} SELECT id, CAST(grade AS INT) AS grade FROM probs", "predictions")
 def corn_predict(spark, sf):
-    return with_cumulative(spark, sf).select("id", O.corn_predict("cumulative").alias("grade"))
+    return with_cumulative(spark, sf).select("id", O.corn_predict("cumulative", n_classes=3).alias("grade"))
 
 
 @query(
@@ -119,7 +119,7 @@ def corn_loss_soft(spark, sf):
     "predictions",
 )
 def soft_qwk_loss(spark, sf):
-    df = with_cumulative(spark, sf).withColumn("probabilities", O.corn_class_probs("cumulative"))
+    df = with_cumulative(spark, sf).withColumn("probabilities", O.corn_class_probs("cumulative", 3))
     return rounded(Ls.soft_qwk_loss(df), "soft_qwk")
 
 
@@ -135,7 +135,7 @@ def model_crops(spark, sf):
     ).withColumn("crop", F.explode(F.array(F.lit(0), F.lit(1))))
     z0 = F.col("z0") + F.col("model") * 0.3 - F.col("crop") * 0.2
     z1 = F.col("z1") - F.col("model") * 0.1 + F.col("crop") * 0.4
-    return df.select("slide_id", "model", O.corn_cumulative(F.array(z0, z1)).alias("cumulative"))
+    return df.select("slide_id", "model", O.corn_cumulative(F.array(z0, z1), 3).alias("cumulative"))
 
 
 @query(
@@ -172,7 +172,7 @@ def write_predictions(spark, sf):
     from bagspark.sources.store import write_predictions as write
 
     path = scratch_path(spark, "predictions")
-    df = with_cumulative(spark, sf).withColumn("y_pred", O.corn_predict("cumulative"))
+    df = with_cumulative(spark, sf).withColumn("y_pred", O.corn_predict("cumulative", n_classes=3))
     write(df.select("id", "cumulative", "y_pred", "y_true", F.lit(0.0).alias("fold_spread")), path)
     back = spark.read.parquet(path)
     return back.select("id", *[r6(F.col("cumulative")[j]).alias(f"c{j}") for j in range(2)], "y_pred", "y_true")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from bagspark.operators import tiles as T
 from bagspark.operators import tissue as Ti
 from bagspark.plans.tiling import build_tiles as build
-from bagspark.queries.registry import query, r6, rounded, tables
+from bagspark.queries.registry import query, rounded, tables
+from bagspark.session import materialise
 
 THUMB = 24
 
@@ -22,6 +23,11 @@ def geometry(spark, sf):
     )
 
 
+def pixels(spark, sf):
+    """The pixel table, written once: masks read it several times."""
+    return materialise(tables(spark, sf, "pixels"), "pixels")
+
+
 def sized(spark, sf, thumbnail_px=2048):
     return T.tile_geometry(T.pick_level(T.resolve_mpp(geometry(spark, sf))), thumbnail_px=thumbnail_px)
 
@@ -110,13 +116,13 @@ def pen_mask(spark, sf):
 
 @query("otsu_threshold", f"WITH {OTSU} SELECT slide_id, round(threshold, 6) + 0.0 AS threshold FROM otsu", "pixels")
 def otsu_threshold(spark, sf):
-    hsv = Ti.rgb_to_hsv(tables(spark, sf, "pixels"))
+    hsv = Ti.rgb_to_hsv(pixels(spark, sf))
     return rounded(Ti.otsu_threshold(hsv, value="sat", spread=["y", "x"]), "threshold")
 
 
 @query("tissue_mask", f"WITH RECURSIVE {MASK} SELECT slide_id, y, x, tissue FROM mask", "pixels")
 def tissue_mask(spark, sf):
-    return Ti.tissue_mask(tables(spark, sf, "pixels")).select("slide_id", "y", "x", "tissue")
+    return Ti.tissue_mask(pixels(spark, sf)).select("slide_id", "y", "x", "tissue")
 
 
 @query("tile_pixel_join", f"WITH {geo_sql(THUMB)}, {HSV}, pens AS (SELECT slide_id, y, x, ({PEN}) AS keep FROM hsv), {joined_sql('pens')} SELECT * FROM joined", "geometry pixels")
@@ -142,7 +148,7 @@ def tissue_fraction(spark, sf):
     "geometry pixels",
 )
 def tile_tissue(spark, sf):
-    mask = Ti.pen_mask(tables(spark, sf, "pixels")).withColumnRenamed("pen", "keep")
+    mask = Ti.pen_mask(pixels(spark, sf)).withColumnRenamed("pen", "keep")
     return rounded(T.tile_tissue(sized(spark, sf, THUMB), mask), "fraction")
 
 
@@ -165,5 +171,5 @@ def cap_patches(spark, sf):
     "geometry pixels",
 )
 def build_tiles(spark, sf):
-    df = build(geometry(spark, sf), tables(spark, sf, "pixels"), tissue_frac=0.25, max_patches=6, seed=11, thumbnail_px=THUMB)
+    df = build(geometry(spark, sf), pixels(spark, sf), tissue_frac=0.25, max_patches=6, seed=11, thumbnail_px=THUMB)
     return rounded(df, "fraction")
