@@ -97,11 +97,9 @@ def tile_pixel_join(tiles: DataFrame, mask: DataFrame) -> DataFrame:
     Each tile lists its pixel window (at least one pixel, clipped to the thumbnail), so the range
     condition becomes an equi-join on the pixel. Pixels without a mask row count as not kept.
     """
-    side = F.greatest(F.lit(1), F.bround(F.col("level0_px") * F.col("thumb_ratio")).cast("int"))
-
     def span(at: str, limit: str) -> Column:
-        lo = F.floor(F.col(at) * F.col("thumb_ratio")).cast("int")
-        hi = F.least(lo + side, F.col(limit)) - 1
+        lo = _start(F.col(at))
+        hi = F.least(lo + _side(), F.col(limit)) - 1
         return F.when(lo <= hi, F.sequence(lo, hi))
 
     rows = tiles.select("slide_id", "tile_idx", span("x", "thumb_w").alias("_xs"), F.explode(span("y", "thumb_h")).alias("y"))
@@ -119,49 +117,83 @@ def tissue_fraction(joined: DataFrame, tissue_frac: float = 0.35) -> DataFrame:
     return share.withColumn("kept", F.col("fraction") >= tissue_frac)
 
 
-def tile_tissue(geom: DataFrame, mask: DataFrame, tissue_frac: float = 0.35) -> DataFrame:
-    """The same (slide_id, tile_idx, fraction, kept), computed from the kept pixels alone.
+def _side() -> Column:
+    """Thumbnail pixels along the footprint of a tile."""
+    return F.greatest(F.lit(1), F.bround(F.col("level0_px") * F.col("thumb_ratio")).cast("int"))
+
+
+def _start(at: Column) -> Column:
+    return F.floor(at * F.col("thumb_ratio")).cast("int")
 
-    A pixel knows the tiles it falls under from the slide's step and ratio, so pixels are neither
-    joined nor shuffled before they are counted per tile; window sizes are arithmetic.
-    """
-    tiles = tile_grid(geom)
-    side = F.greatest(F.lit(1), F.bround(F.col("level0_px") * F.col("thumb_ratio")).cast("int"))
 
-    def start(at: Column) -> Column:
-        return F.floor(at * F.col("thumb_ratio")).cast("int")
+def _window_area() -> Column:
+    """Thumbnail pixels under the tile at (x, y), clipped to the thumbnail."""
 
     def extent(at: str, limit: str) -> Column:
-        return F.greatest(F.least(start(F.col(at)) + side, F.col(limit)) - start(F.col(at)), F.lit(0))
+        return F.greatest(F.least(_start(F.col(at)) + _side(), F.col(limit)) - _start(F.col(at)), F.lit(0))
 
+    return extent("x", "thumb_w") * extent("y", "thumb_h")
+
+
+def kept_per_tile(geom: DataFrame, mask: DataFrame) -> DataFrame:
+    """(slide_id, tile_idx, n_kept) of the tiles with at least one kept pixel.
+
+    A pixel knows the tiles it falls under from the slide's step and ratio, so pixels are neither
+    joined with tiles nor shuffled before they are counted.
+    """
     kept_pixels = mask.where("keep").select("slide_id", "y", "x")
     sizes = kept_pixels.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"))
-    shape = sized_grid(geom).join(sizes, "slide_id").withColumn("_side", side)
+    shape = sized_grid(geom).join(sizes, "slide_id").select(
+        "slide_id", "n", "_nx", "_ny", "thumb_w", "thumb_h", "thumb_ratio", _side().alias("_side"),
+        F.greatest("level0_px", F.lit(1)).alias("_step"),
+    )
     rows = attach_stats(kept_pixels, shape, ["slide_id"], ["y", "x"]).where("y < thumb_h AND x < thumb_w")
-    step = F.greatest("level0_px", F.lit(1))
 
     def candidates(pixel: str, count: str) -> Column:
-        pitch = step * F.col("thumb_ratio")
+        pitch = F.col("_step") * F.col("thumb_ratio")
         lo = F.greatest(F.floor((F.col(pixel) - F.col("_side")) / pitch), F.lit(0))
         hi = F.least(F.floor((F.col(pixel) + 1) / pitch), F.col(count) - 1)
         return F.filter(
             F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")),
-            lambda i: (start(i * step) <= F.col(pixel)) & (F.col(pixel) < start(i * step) + F.col("_side")),
+            lambda i: (_start(i * F.col("_step")) <= F.col(pixel)) & (F.col(pixel) < _start(i * F.col("_step")) + F.col("_side")),
         )
 
     hits = rows.select("slide_id", "_nx", candidates("x", "_nx").alias("_xs"), F.explode(candidates("y", "_ny")).alias("_iy"))
     hits = hits.select("slide_id", "_nx", "_iy", F.explode("_xs").alias("_ix"))
-    counts = hits.groupBy("slide_id", (F.col("_iy") * F.col("_nx") + F.col("_ix")).alias("tile_idx")).agg(
-        F.count(F.lit(1)).alias("_kept")
+    return hits.groupBy("slide_id", (F.col("_iy") * F.col("_nx") + F.col("_ix")).alias("tile_idx")).agg(
+        F.count(F.lit(1)).alias("n_kept")
     )
-    area = extent("x", "thumb_w") * extent("y", "thumb_h")
-    sized = tiles.select("slide_id", "tile_idx", area.alias("_area")).where("_area > 0")
-    share = F.coalesce("_kept", F.lit(0)) / F.col("_area")
-    return sized.join(counts, ["slide_id", "tile_idx"], "left").select(
+
+
+def tile_tissue(geom: DataFrame, mask: DataFrame, tissue_frac: float = 0.35) -> DataFrame:
+    """The same (slide_id, tile_idx, fraction, kept) for all tiles, computed from the kept pixels alone."""
+    sized = tile_grid(geom).select("slide_id", "tile_idx", _window_area().alias("_area")).where("_area > 0")
+    share = F.coalesce("n_kept", F.lit(0)) / F.col("_area")
+    return sized.join(kept_per_tile(geom, mask), ["slide_id", "tile_idx"], "left").select(
         "slide_id", "tile_idx", share.alias("fraction"), (share >= tissue_frac).alias("kept")
     )
 
 
+TILE_COLUMNS = ["slide_id", "tile_idx", "x", "y", "level", "read_px", "level0_px", "fraction"]
+
+
+def tissue_tiles(geom: DataFrame, mask: DataFrame, tissue_frac: float = 0.35) -> DataFrame:
+    """Tiles with at least ``tissue_frac`` kept pixels, with position and fraction.
+
+    Above zero only tiles with kept pixels qualify, and their position follows from the index, so
+    the grid is never listed.
+    """
+    if tissue_frac <= 0:
+        share = tile_tissue(geom, mask, tissue_frac).where("kept")
+        return tile_grid(geom).join(share, ["slide_id", "tile_idx"]).select(*TILE_COLUMNS)
+    grid = sized_grid(geom).withColumn("n", F.col("_nx") * F.col("_ny"))
+    step = F.greatest("level0_px", F.lit(1))
+    placed = attach_stats(kept_per_tile(geom, mask), grid, ["slide_id"], ["tile_idx"]).withColumns(
+        {"x": F.col("tile_idx") % F.col("_nx") * step, "y": F.floor(F.col("tile_idx") / F.col("_nx")) * step}
+    )
+    return placed.withColumn("fraction", F.col("n_kept") / _window_area()).where(F.col("fraction") >= tissue_frac).select(*TILE_COLUMNS)
+
+
 def cap_patches(tiles: DataFrame, max_patches: int, seed: int = 0) -> DataFrame:
     """At most ``max_patches`` tiles per slide: a seeded uniform subset."""
     keyed = tiles.withColumn("_u", hash_uniform(seed, "slide_id", "tile_idx"))

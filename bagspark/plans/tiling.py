@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagspark.operators.tiles import cap_patches, pick_level, resolve_mpp, tile_geometry, tile_grid, tile_tissue
+from bagspark.operators.tiles import cap_patches, pick_level, resolve_mpp, tile_geometry, tissue_tiles
 from bagspark.operators.tissue import pen_condition, tissue_mask
+from bagspark.session import materialise
 
 
 def build_tiles(
@@ -22,8 +23,7 @@ def build_tiles(
 ) -> DataFrame:
     """(slide_id, tile_idx, x, y, level, read_px, level0_px, fraction) of the kept tiles."""
     sized = tile_geometry(pick_level(resolve_mpp(geom, fallback_mpp), target_mpp), out_px, target_mpp, thumbnail_px)
-    tiles = tile_grid(sized)
     mask = tissue_mask(pixels).select("slide_id", "y", "x", (F.col("tissue") & ~pen_condition()).alias("keep"))
-    share = tile_tissue(sized, mask, tissue_frac).where("kept").drop("kept")
-    kept = tiles.drop("thumb_ratio", "thumb_w", "thumb_h").join(share, ["slide_id", "tile_idx"])
-    return kept if max_patches is None else cap_patches(kept, max_patches, seed)
+    mask = materialise(mask.where("keep"), "mask")
+    kept = tissue_tiles(sized, mask, tissue_frac)
+    return kept if max_patches is None else cap_patches(materialise(kept, "tiles"), max_patches, seed)

@@ -141,3 +141,19 @@ def test_build_tiles_keeps_only_tissue(spark):
     out = build_tiles(slide, px, thumbnail_px=40)
     assert {(r["x"] // 448, r["y"] // 448) for r in out.collect()} == {(i, j) for i in range(5) for j in range(10)}
     assert build_tiles(slide, px, thumbnail_px=40, max_patches=7).count() == 7
+
+
+@pytest.mark.parametrize("thumb, step", [(30, "0.25"), (11, "0.25"), (64, "0.11"), (5, "0.9")])
+def test_counting_from_pixels_equals_joining_windows(spark, thumb, step):
+    rng = np.random.default_rng(4)
+    sized = T.tile_geometry(
+        T.pick_level(T.resolve_mpp(geom(spark, (0, 4480, 3000, [1.0], {"aperio.MPP": step}), (1, 700, 2100, [1.0], {"aperio.MPP": step})))),
+        thumbnail_px=thumb,
+    )
+    cells = [(s, y, x, bool(rng.random() < 0.6)) for s in (0, 1) for y in range(thumb + 2) for x in range(thumb + 2)]
+    mask = spark.createDataFrame(cells, "slide_id bigint, y int, x int, keep boolean")
+    slow = {(r["slide_id"], r["tile_idx"]): r["fraction"] for r in T.tissue_fraction(T.tile_pixel_join(T.tile_grid(sized), mask)).collect()}
+    fast = {(r["slide_id"], r["tile_idx"]): r["fraction"] for r in T.tile_tissue(sized, mask).collect()}
+    assert slow == pytest.approx(fast) and len(slow) > 1
+    kept = {(r["slide_id"], r["tile_idx"]): r["fraction"] for r in T.tissue_tiles(sized, mask, 0.5).collect()}
+    assert kept == pytest.approx({k: v for k, v in slow.items() if v >= 0.5})
