@@ -28,10 +28,12 @@ def masked_softmax(
 ) -> DataFrame:
     """Adds ``alpha``: softmax over the patches of each map, and on request ``n``, their number."""
     peak = scores.groupBy(*keys).agg(F.max(score).alias("_peak"), _size())
-    shifted = attach_stats(scores, peak, keys, ["patch_idx"]).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
-    mass = shifted.groupBy(*keys).agg(F.sum("_e").alias("_mass"), _size())
-    rows = attach_stats(shifted.drop("_peak", "n"), mass, keys, ["patch_idx"])
-    rows = rows.withColumn("alpha", F.col("_e") / F.col("_mass")).drop("_e", "_mass")
+    shifted = attach_stats(scores, peak, keys, ["patch_idx"])
+    mass = shifted.groupBy(*keys).agg(
+        (F.max("_peak") + F.ln(F.sum(F.exp(F.col(score) - F.col("_peak"))))).alias("_log_mass"), _size()
+    )
+    rows = attach_stats(scores, mass, keys, ["patch_idx"])
+    rows = rows.withColumn("alpha", F.exp(F.col(score) - F.col("_log_mass"))).drop("_log_mass")
     return rows if with_size else rows.drop("n")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.tuning import ParamGridBuilder  # noqa: F401 - re-exported for callers building grids
 from pyspark.sql import functions as F
 
 from bagspark.operators.metrics import grading_metrics
