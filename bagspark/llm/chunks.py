@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from bagspark.session import scratch_path
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 LARGEST_CHUNK = 256 << 20
 MAX_BUCKETS = 50_000
 SENT = "shard int, chunk int, keys binary, extra binary"

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagspark.llm.chat_format import CONTROL, digests, segments
+from bagspark.llm.decontamination import contaminated
+from bagspark.llm.language_id import predict, train
 from bagspark.llm.mixing import mix
+from bagspark.llm.quality_classifier import held_out, quality_scores
 from bagspark.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from bagspark.llm.substring_dedup import substring_dedup
 from bagspark.llm.warc import read_archive, write_archive
 from bagspark.session import scratch_path
 
+QUALITY_FROM = 0.3
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -134,3 +139,22 @@ FROM p JOIN t ON source IS NOT DISTINCT FROM s""")
 def op8(spark, sf_dir):
     plan = mix(table(spark, sf_dir, "documents"))
     return plan.groupBy("doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+
+
+@query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.withColumn("predicted", (F.col("score") >= QUALITY_FROM).cast("int"))
+
+
+@query("op9_decontamination")
+def op9(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(folds=4, fold=2)
+    model = train(docs.where(~held))
+    return predict(docs, model).select("doc_id", held_out(folds=4, fold=2).alias("held_out"), "lang_pred", "score", "rejected")

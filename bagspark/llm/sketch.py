@@ -24,10 +24,9 @@ def sketch_bits(keys: int) -> int:
     return max(SHARD_BITS, int(np.ceil(np.log2(max(keys, 1) * CELLS_PER_KEY))))
 
 
-def cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(touched cells rising, count of keys in each up to TOP, the key's index among the touched)."""
-    own, at, n = np.unique(hashes >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-    return own, np.minimum(n, TOP).astype(np.uint8), at
+def cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(touched cells rising, the index of each key's cell among them)."""
+    return np.unique(hashes >> np.uint64(64 - bits), return_inverse=True)
 
 
 def by_shard(rising: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +40,9 @@ def send(chunk: int, families: list[np.ndarray], bits: int) -> list[dict]:
     """The partial sketch of a chunk's keys; ``families`` has one array of hashes per sketch row."""
     out = []
     for row, hashes in enumerate(families):
-        touched, counts, _ = cells(hashes, bits)
+        sorted_cells = np.sort(hashes >> np.uint64(64 - bits))
+        starts = np.flatnonzero(np.concatenate([[True], sorted_cells[1:] != sorted_cells[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        touched, counts = sorted_cells[starts], np.minimum(np.diff(starts, append=len(hashes)), TOP).astype(np.uint8)
         shards, bounds = by_shard(touched, bits)
         local = touched & np.uint64((1 << SHARD_BITS) - 1)
         out.append({
@@ -68,7 +69,7 @@ def estimates(families: list[np.ndarray], answers: pa.Table, bits: int) -> np.nd
     told = dict(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist()))
     least = None
     for row, hashes in enumerate(families):
-        touched, _, at = cells(hashes, bits)
+        touched, at = cells(hashes, bits)
         shards, _ = by_shard(touched, bits)
         totals = [unpack(told[int(s) * len(families) + row], np.uint8) for s in shards]
         own = np.concatenate(totals)[at] if totals else np.zeros(0, np.uint8)
