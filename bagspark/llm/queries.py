@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bagspark.llm.chat_format import CONTROL, digests, segments
 from bagspark.llm.decontamination import contaminated
+from bagspark.llm.jaccard_join import jaccard_components
 from bagspark.llm.language_id import predict, train
 from bagspark.llm.mixing import mix
 from bagspark.llm.quality_classifier import held_out, quality_scores
@@ -158,3 +159,17 @@ def op10(spark, sf_dir):
     held = held_out(folds=4, fold=2)
     model = train(docs.where(~held))
     return predict(docs, model).select("doc_id", held_out(folds=4, fold=2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op2_jaccard_join", f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS l FROM documents),
+g AS (SELECT doc_id, unnest([array_to_string(l[i:i + 4], ' ') FOR i IN range(1, greatest(len(l) - 4, 1) + 1)]) AS shingle FROM w WHERE len(l) > 0),
+s AS (SELECT DISTINCT doc_id, shingle FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN least ON a = doc_id""")
+def op2(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
