@@ -11,6 +11,7 @@ from bagspark.llm.chat_format import CONTROL, digests, segments
 from bagspark.llm.decontamination import contaminated
 from bagspark.llm.jaccard_join import jaccard_components
 from bagspark.llm.language_id import predict, train
+from bagspark.llm.lm_scoring import lm_scores
 from bagspark.llm.mixing import mix
 from bagspark.llm.quality_classifier import held_out, quality_scores
 from bagspark.llm.quality_rules import RULES, STOP_WORDS, quality_rules
@@ -173,3 +174,13 @@ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN least ON a = doc_id""")
 def op2(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+LOWER_WORDS_SQL = WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+
+@query("op6_lm_scoring")
+def op6(spark, sf_dir):
+    held = held_out(folds=10, fold=0)
+    scores = lm_scores(table(spark, sf_dir, "documents"), ~held)
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
