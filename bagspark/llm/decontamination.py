@@ -172,6 +172,35 @@ def find(benchmark: Benchmark, batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "similarity", "start_word", "window_words"])
 
 
+def parts_of(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator:
+    """Broadcast (ids, texts) of the benchmark in parts of about ``PART_BYTES``."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(1, -(-int(size) // PART_BYTES))
+    for part in range(parts):
+        held = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).orderBy("i", "t").collect()  # about PART_BYTES
+        yield benchmark.sparkSession.sparkContext.broadcast(([r["i"] for r in held], [r["t"] for r in held]))
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, all columns as they are; texts are judged where they lie."""
+    at, out = docs.columns.index(text), docs
+    for sent in parts_of(benchmark, item_id, item_text):
+
+        def run(batches, sent=sent):
+            ready = Benchmark(*sent.value)
+            for batch in batches:
+                rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["row", "text"])
+                clean = np.ones(batch.num_rows, bool)
+                clean[np.unique(find(ready, rows).column(0).to_numpy())] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -181,14 +210,9 @@ def contaminated(
     nothing; items under five words must occur whole. Rows with a null doc_id are reported with null; rows that
     repeat are reported each. An empty benchmark gives an empty result. Other columns are ignored.
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-int(size) // PART_BYTES))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = []
-    for part in range(parts):
-        held = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).orderBy("i", "t").collect()  # at most about PART_BYTES
-        sent = docs.sparkSession.sparkContext.broadcast(([r["i"] for r in held], [r["t"] for r in held]))
+    for sent in parts_of(benchmark, item_id, item_text):
 
         def run(batches, sent=sent):
             ready = Benchmark(*sent.value)

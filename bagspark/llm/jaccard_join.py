@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagspark.llm import sketch
-from bagspark.llm.chunks import SENT, deal, merge
+from bagspark.llm.chunks import SENT, carried, deal, merge, restored
 from bagspark.llm.components import components
 from bagspark.llm.words import mix, run_hashes, runs, slices
 from bagspark.session import materialise
@@ -232,15 +232,8 @@ def tile_edges(tokens: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFra
     return rows.groupBy("token", "left", "right").applyInArrow(block_links, EDGES)
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    A-Z are lower-cased; a set holds the distinct runs of five words, or all words as one run if they are fewer. Null
-    text and text without words have an empty set and link with nothing: their component is their own doc_id. Rows
-    that share a doc_id count as one document. Rows with a null doc_id have a null component and link with nothing.
-    Other columns are ignored. An empty table gives an empty result.
-    """
-    chunks = deal(docs, doc_id, text)
+def components_of(chunks) -> DataFrame:
+    """(chunk, doc_id, n_shingles, component_id) for every row of the chunks."""
     bits = sketch.sketch_bits(chunks.bytes // 5)
 
     def describe(chunk, table):
@@ -257,8 +250,43 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tokens = materialise(sets.select(F.explode("tokens").alias("token"), "node").distinct(), "tokens")
     stars = materialise(star_edges(tokens, sets), "links")
     found = materialise(tile_edges(tokens, sets, components(stars)), "links")
-    placed = materialise(rows.join(classes.drop("chunk"), keys, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "placed")
+    placed = materialise(rows.join(classes.drop("chunk"), keys, "left").select("chunk", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "placed")
     several = placed.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("high")
     same_id = placed.where("node is not null").join(several, "doc_id").select(F.col("node").alias("a"), F.col("low").alias("b"))
     of = components(stars.unionByName(found).unionByName(same_id))
-    return placed.join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    return placed.join(of, "node", "left").select("chunk", "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    A-Z are lower-cased; a set holds the distinct runs of five words, or all words as one run if they are fewer. Null
+    text and text without words have an empty set and link with nothing: their component is their own doc_id. Rows
+    that share a doc_id count as one document. Rows with a null doc_id have a null component and link with nothing.
+    Other columns are ignored. An empty table gives an empty result.
+    """
+    return components_of(deal(docs, doc_id, text)).drop("chunk")
+
+
+def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the smallest doc_id of each component, all columns as they are.
+
+    Of rows that share its doc_id, the one with the smallest text stays (null before all). Rows with a null doc_id all
+    stay.
+    """
+    others = tuple(c for c in docs.columns if c not in (doc_id, text))
+    chunks = deal(docs, doc_id, text, carry=others)
+    first = components_of(chunks).where("doc_id = component_id").select("chunk", "doc_id").distinct()
+    names = ["doc_id", "text", *(f"carry_{i}" for i in range(len(others)))]
+
+    def choose(chunk, table, given):
+        ids, texts = table.column("doc_id").to_pylist(), table.column("text")
+        keep, held = set(given.column("doc_id").to_pylist()), {}
+        for row, i in enumerate(ids):
+            if i in keep and (i not in held or (texts[row].as_py() or "") < (texts[held[i]].as_py() or "")):
+                held[i] = row
+        stay = pa.array(sorted([*held.values(), *(row for row, i in enumerate(ids) if i is None)]), pa.int64())
+        yield {c: table.column(c).take(stay) for c in names}
+
+    out = restored(chunks.answered(first, choose, "doc_id long, text string" + carried(docs, others)), others)
+    return out.withColumnsRenamed({"doc_id": doc_id, "text": text}).select(*docs.columns)

@@ -73,20 +73,19 @@ def mix(
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("_h"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
-    ).withColumn("_piece", F.substring("_h", 1, 3))
-    pieces = materialise(rows.groupBy("source", "_piece").agg(F.sum("size").alias("_sum")), "pieces")
+    ).withColumn("_piece", F.substring("_h", 1, 3)).withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    pieces = materialise(rows.groupBy("_key", "source", "_piece").agg(F.sum("size").alias("_sum")), "pieces")
     sizes = pieces.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     order = sizes.withColumn("_order", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     goals = targets(order, cyclic_weight(F.col("_order"), weights))
     middle = sum(weights) / len(weights)
-    along = W.partitionBy("source").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    starts = pieces.withColumn("_before", F.coalesce(F.sum("_sum").over(along), F.lit(0))).select(F.col("source").alias("_s"), F.col("_piece").alias("_p"), "_before")
-    goals = materialise(
-        starts.join(goals, starts["_s"].eqNullSafe(goals["source"])).select("_s", "_p", "_before", "source_size", "weight", "target"), "goals"
-    )
-    within = W.partitionBy("source", "_piece").orderBy("_h", "size").rowsBetween(W.unboundedPreceding, -1)
+    along = W.partitionBy("_key").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = pieces.withColumn("_before", F.coalesce(F.sum("_sum").over(along), F.lit(0))).select("_key", "_piece", "_before")
+    own = goals.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).drop("source")
+    goals = materialise(starts.join(own, "_key").select("_key", "_piece", "_before", "source_size", "weight", "target"), "goals")
+    within = W.partitionBy("_key", "_piece").orderBy("_h", "size").rowsBetween(W.unboundedPreceding, -1)
     summed = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    found = summed.join(goals, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p")))
+    found = summed.join(goals, ["_key", "_piece"])
     start = F.col("_before") + F.col("_in")
     asked = F.floor(F.col("target") + 0.5).cast("long")
     placed = found.withColumn("_start", start).withColumn("_asked", asked)

@@ -207,6 +207,30 @@ def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0):
     return F.coalesce(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold, F.lit(False))
 
 
+def learnt(stats: DataFrame, labels: DataFrame, doc_id: str, label: str) -> Model | None:
+    named = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).alias("label"))
+    return fit(stats.where(~held_out()).join(named, "doc_id"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, at_least: float, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` with a score of ``at_least``, all columns as they are.
+
+    Learns like ``quality_scores``. Texts are scored where they lie, so no text is shuffled; rows that repeat and
+    rows without doc_id are judged each. Without labels every row scores 0.5.
+    """
+    model = learnt(materialise(measured(docs, doc_id, text), "statistics"), labels, doc_id, label)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred thousand numbers
+    at = docs.columns.index(text)
+
+    def run(batches):
+        m = sent.value
+        for batch in batches:
+            good = (m.scores(statistics(batch.column(at))) if m else np.full(batch.num_rows, 0.5)) >= at_least
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1).
 
@@ -215,6 +239,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     like any other. Rows with a null doc_id are scored, never learnt from. Without labels all scores are 0.5.
     """
     stats = materialise(measured(docs, doc_id, text), "statistics")
-    named = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).alias("label"))
-    model = fit(stats.where(~held_out()).join(named, "doc_id"))
-    return score(stats, model).select("doc_id", held_out().alias("held_out"), "score")
+    return score(stats, learnt(stats, labels, doc_id, label)).select("doc_id", held_out().alias("held_out"), "score")

@@ -108,11 +108,11 @@ def without(words, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum(per_text)])
 
 
-def substring_dedup(docs: DataFrame, length: int = 13, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 13, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), keep_whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by one space), carried columns.
 
     A word goes if a run of ``length`` words that covers it also starts in a document with a smaller doc_id.
-    Runs are judged on the input. Null text: no words. Rows with equal doc_id do not remove each other's words;
+    With ``keep_whole``, texts that lose nothing come back as they are. Runs are judged on the input. Null text: no words. Rows with equal doc_id do not remove each other's words;
     rows with a null doc_id neither remove nor lose any. Texts shorter than ``length`` words stay whole. Other
     columns of ``docs`` are ignored unless ``carry`` names them. An empty table gives an empty result.
     """
@@ -154,6 +154,8 @@ def substring_dedup(docs: DataFrame, length: int = 13, doc_id: str = "doc_id", t
             covered = np.cumsum(step)[:-1] > 0
             data, offsets = without(words, covered)
             text = pa.LargeStringArray.from_buffers(end - first, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+            if keep_whole and not covered.any():
+                text = table.column("text").slice(first, end - first)
             removed = np.bincount(words.owner(), covered, minlength=end - first).astype(np.int64)
             yield {"doc_id": ids.slice(first, end - first), "n_words": words.counts, "n_removed": removed, "kept_text": text,
                    **{c: table.column(c).slice(first, end - first) for c in names}}
