@@ -12,21 +12,32 @@ from pyspark.sql import functions as F
 
 from bagspark.functions.hashing import hash_uniform
 from bagspark.functions.ordinal import cumulative_targets
-from bagspark.skew import attach_stats, hash_rank, smallest_by_hash
+from bagspark.session import materialise
+from bagspark.skew import attach_stats, hash_rank, ranged_prefix, smallest_by_hash
+
+
+def positions(patches: DataFrame) -> DataFrame:
+    """(slide_id, patch_idx, position): the 0-based place of each patch in its slide by patch_idx, which may have gaps."""
+    return ranged_prefix(patches.select("slide_id", "patch_idx"), ["patch_idx"], ["slide_id"], out="position")
 
 
 def crop_index(patches: DataFrame, bag_size: int) -> DataFrame:
-    """Adds ``crop`` (floor(patch_idx / bag_size)) and ``n_crops``; every patch is in one crop.
+    """Adds ``crop`` (floor(position / bag_size)) and ``n_crops``; every patch is in one crop.
 
-    ``patch_idx`` is the dense position of a patch within its slide.
+    Only keys are ranked; where the ids of a slide have no gaps, the position is patch_idx itself.
     """
-    sizes = patches.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"))
-    n_crops = F.greatest(F.ceil(F.col("n") / F.lit(bag_size)), F.lit(1))
-    return (
-        attach_stats(patches, sizes.withColumn("n_crops", n_crops), ["slide_id"], ["patch_idx"])
-        .withColumn("crop", F.floor(F.col("patch_idx") / F.lit(bag_size)))
-        .drop("n")
+    sizes = patches.groupBy("slide_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("patch_idx").alias("_low"), F.max("patch_idx").alias("_high")
     )
+    n_crops = F.greatest(F.ceil(F.col("n") / F.lit(bag_size)), F.lit(1))
+    sizes = materialise(sizes.withColumn("n_crops", n_crops), "sizes")
+    narrow = sizes.drop("_low", "_high")
+    if sizes.where((F.col("_low") != 0) | (F.col("_high") != F.col("n") - 1)).isEmpty():
+        placed = patches.withColumn("position", F.col("patch_idx"))
+    else:
+        placed = patches.join(positions(patches), ["slide_id", "patch_idx"])
+    crops = attach_stats(placed, narrow, ["slide_id"], ["patch_idx"], written=True)
+    return crops.withColumn("crop", F.floor(F.col("position") / F.lit(bag_size))).drop("n", "position")
 
 
 def sample_subbag(
@@ -34,12 +45,11 @@ def sample_subbag(
 ) -> DataFrame:
     """(slide_id, draw, patch_idx): independent draws without replacement, or the first patches.
 
-    Slides of at most ``bag_size`` patches are kept whole. Evaluation reads positions below
-    ``bag_size``, which is a filter the scan can apply.
+    Slides of at most ``bag_size`` patches are kept whole. Evaluation takes the positions below ``bag_size``.
     """
     rows = patches.select("slide_id", "patch_idx")
     if not train:
-        return rows.where(F.col("patch_idx") < bag_size).withColumn("draw", F.lit(0))
+        return positions(rows).where(F.col("position") < bag_size).drop("position").withColumn("draw", F.lit(0))
     drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples_per_slide - 1))))
     drawn = drawn.withColumn("_u", hash_uniform(seed, "draw", "slide_id", "patch_idx"))
     return smallest_by_hash(drawn, ["slide_id", "draw"], "_u", bag_size, ["patch_idx"]).drop("_u")

@@ -127,11 +127,12 @@ def licence_status(features: DataFrame, registry: DataFrame, allow_noncommercial
 
 def licence_gate(features: DataFrame, registry: DataFrame, allow_noncommercial: bool = False) -> DataFrame:
     """``features`` unchanged, or an error naming what may not be used and what may."""
-    bad = licence_status(features, registry, allow_noncommercial).where("status <> 'ok'").orderBy("encoder").limit(20).collect()
+    refused = licence_status(features, registry, allow_noncommercial).where("status <> 'ok'")
+    bad = refused.orderBy("encoder").limit(20).collect()
     if bad:
         usable = [r[0] for r in registry.where("commercial_ok").select("encoder").orderBy("encoder").collect()]
         listed = ", ".join(f"{r['encoder']} ({r['status']})" for r in bad)
-        raise CohortError(f"encoders not usable: {listed}; usable commercially: {usable}")
+        raise CohortError(f"{refused.count()} encoders not usable, e.g. {listed}; usable commercially: {usable}")
     return features
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from bagspark.functions import ordinal
 from bagspark.skew import ranged_prefix
 
+# Metric names.
 METRICS = ["qwk", "macro_f1", "balanced_accuracy", "adjacent_accuracy", "mean_absolute_error"]
 
 
@@ -34,11 +35,25 @@ def _total(columns: Sequence[Column]) -> Column:
 def confusion_wide(
     preds: DataFrame, n_classes: int = 3, by: Sequence[str] = (), true: str = "y_true", pred: str = "y_pred"
 ) -> DataFrame:
-    """One row per group with a count column per (truth, prediction) cell, zeros included."""
+    """One row per group with a count column per (truth, prediction) cell, zeros included.
+
+    Pairs with a grade outside 0..K-1 are counted beside the cells: by their truth or prediction where that is inside,
+    and all together with how many are equal or neighbours and the sum of their distances.
+    """
     counts = [
         F.count_if((F.col(true) == i) & (F.col(pred) == j)).alias(_cell(i, j)) for i, j in _cells(n_classes)
     ]
-    return preds.groupBy(*by).agg(*counts)
+    known = [F.col(c).between(0, n_classes - 1) for c in (true, pred)]
+    odd, far = ~(known[0] & known[1]), F.abs(F.col(true) - F.col(pred))
+    beside = [F.count_if(odd & (F.col(true) == i)).alias(f"t{i}") for i in range(n_classes)]
+    beside += [F.count_if(odd & (F.col(pred) == j)).alias(f"p{j}") for j in range(n_classes)]
+    beside += [F.count_if(odd).alias("n_outside"), F.count_if(odd & (far == 0)).alias("o_equal"), F.count_if(odd & (far <= 1)).alias("o_near")]
+    distance = F.coalesce(F.sum(F.when(odd, far)), F.lit(0)).cast("bigint").alias("o_far")
+    return preds.groupBy(*by).agg(*counts, *beside, distance)
+
+
+def _beside(k: int) -> list[str]:
+    return [*[f"t{i}" for i in range(k)], *[f"p{j}" for j in range(k)], "n_outside", "o_equal", "o_near", "o_far"]
 
 
 def confusion(preds: DataFrame, n_classes: int = 3, by: Sequence[str] = ()) -> DataFrame:
@@ -57,30 +72,33 @@ def metrics_from_confusion(wide: DataFrame, n_classes: int = 3, keep: Sequence[s
     """Metric columns from the cell columns of :func:`confusion_wide`.
 
     Kappa without expected disagreement is null; an undefined F1 counts as 0; balanced accuracy
-    averages over the classes present in the truth.
+    averages over the classes 0..K-1 present in the truth. Pairs with a grade outside count in n, the accuracies and
+    the mean error, as misses of the grade that is inside, and not in kappa.
     """
     k = n_classes
     c = {ij: F.col(_cell(*ij)).cast("double") for ij in _cells(k)}
     row = [_total([c[i, j] for j in range(k)]) for i in range(k)]
     col = [_total([c[i, j] for i in range(k)]) for j in range(k)]
-    n = _total(row)
+    inside = _total(row)
+    n = inside + F.col("n_outside")
+    truths, guesses = [row[i] + F.col(f"t{i}") for i in range(k)], [col[j] + F.col(f"p{j}") for j in range(k)]
     weighted = [((i - j) ** 2, i, j) for i, j in _cells(k) if i != j]
     observed = _total([F.lit(float(w)) * c[i, j] for w, i, j in weighted])
     expected = _total([F.lit(float(w)) * row[i] * col[j] for w, i, j in weighted])
     f1 = [
-        F.coalesce(F.try_divide(F.lit(2.0) * c[i, i], row[i] + col[i]), F.lit(0.0)) for i in range(k)
+        F.coalesce(F.try_divide(F.lit(2.0) * c[i, i], truths[i] + guesses[i]), F.lit(0.0)) for i in range(k)
     ]
-    recalls = _total([F.coalesce(F.try_divide(c[i, i], row[i]), F.lit(0.0)) for i in range(k)])
-    present = _total([F.when(row[i] > 0, 1.0).otherwise(0.0) for i in range(k)])
+    recalls = _total([F.coalesce(F.try_divide(c[i, i], truths[i]), F.lit(0.0)) for i in range(k)])
+    present = _total([F.when(truths[i] > 0, 1.0).otherwise(0.0) for i in range(k)])
     return wide.select(
         *keep,
         n.cast("bigint").alias("n"),
-        (F.lit(1.0) - F.try_divide(observed * n, expected)).alias("qwk"),
+        (F.lit(1.0) - F.try_divide(observed * inside, expected)).alias("qwk"),
         (_total(f1) / k).alias("macro_f1"),
         F.try_divide(recalls, present).alias("balanced_accuracy"),
-        F.try_divide(_total([c[i, i] for i in range(k)]), n).alias("accuracy"),
-        F.try_divide(_total([c[i, j] for i, j in _cells(k) if abs(i - j) <= 1]), n).alias("adjacent_accuracy"),
-        F.try_divide(_total([F.lit(float(abs(i - j))) * c[i, j] for i, j in _cells(k) if i != j]), n).alias(
+        F.try_divide(_total([c[i, i] for i in range(k)]) + F.col("o_equal"), n).alias("accuracy"),
+        F.try_divide(_total([c[i, j] for i, j in _cells(k) if abs(i - j) <= 1]) + F.col("o_near"), n).alias("adjacent_accuracy"),
+        F.try_divide(_total([F.lit(float(abs(i - j))) * c[i, j] for i, j in _cells(k) if i != j]) + F.col("o_far"), n).alias(
             "mean_absolute_error"
         ),
         *[f1[i].alias(f"f1_{i}") for i in range(k)],
@@ -219,7 +237,7 @@ def selective_prediction(
     )
     per = confusion_wide(placed.withColumn("bucket", bucket.cast("int") + 1), n_classes, ["bucket"])
     upto = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    cells = [_cell(i, j) for i, j in _cells(n_classes)]
+    cells = [*[_cell(i, j) for i, j in _cells(n_classes)], *_beside(n_classes)]
     curve = metrics_from_confusion(
         per.select("bucket", *[F.sum(c).over(upto).alias(c) for c in cells]), n_classes, ["bucket"]
     )

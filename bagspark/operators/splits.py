@@ -11,7 +11,8 @@ from bagspark.session import materialise
 from bagspark.skew import hash_rank
 
 DEFAULT_SEED = 20260820
-FINGERPRINT_LIMIT = 2_000_000
+# Hex digits of the MD5 of an id that name its bucket, and of a bucket that name its group.
+BUCKET_DIGITS, GROUP_DIGITS = 5, 2
 
 
 class SplitError(RuntimeError):
@@ -139,23 +140,18 @@ def split_invariants(splits: DataFrame, members: DataFrame) -> DataFrame:
     return row.unpivot([], row.columns, "invariant", "violations")
 
 
-def fingerprint(splits: DataFrame, limit: int = FINGERPRINT_LIMIT) -> DataFrame:
-    """One row ``fingerprint``: first 16 hex digits of SHA-256 over the sorted test ids joined by '|'.
+def fingerprint(splits: DataFrame) -> DataFrame:
+    """One row ``fingerprint``: 16 hex digits that stand for the set of test ids, by one rule at every size.
 
-    The joined text is one value, so it is only built when a count shows at most ``limit`` ids.
-    Larger test sets get the same digest over per-bucket digests (buckets by the id's hash),
-    marked with a leading ``t``.
+    Ids fall into buckets by the first five hex digits of their MD5, buckets into groups by the first two. The SHA-256
+    of a bucket is over its sorted ids joined by '|', that of a group over its sorted bucket digests, and
+    the fingerprint over the sorted group digests, so no task holds all ids.
     """
-    ids = splits.where("is_test").select("patient_id")
 
-    def digest(col):
+    def digest(col: str):
         return F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(col))), 256)
 
-    n = ids.count()
-    if n <= limit:
-        return ids.agg(F.substring(digest("patient_id"), 1, 16).alias("fingerprint"))
-    buckets = min(65536, n // (limit // 4 or 1) * 4 + 4)
-    parts = ids.groupBy(F.pmod(F.xxhash64("patient_id"), F.lit(buckets)).alias("b")).agg(
-        F.concat_ws(":", F.lpad(F.col("b").cast("string"), 6, "0"), digest("patient_id")).alias("d")
-    )
-    return parts.agg(F.concat(F.lit("t"), F.substring(digest("d"), 1, 15)).alias("fingerprint"))
+    ids = splits.where("is_test").select("patient_id", F.substring(F.md5("patient_id"), 1, BUCKET_DIGITS).alias("_b"))
+    buckets = ids.groupBy("_b").agg(digest("patient_id").alias("_d"))
+    groups = buckets.groupBy(F.substring("_b", 1, GROUP_DIGITS).alias("_g")).agg(digest("_d").alias("_d"))
+    return groups.agg(F.substring(digest("_d"), 1, 16).alias("fingerprint"))

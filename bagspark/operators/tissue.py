@@ -140,11 +140,11 @@ def block_labels(mask: DataFrame, block: int) -> DataFrame:
     )
 
 
-def merge_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def merge_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(slide_id, comp, root): smallest label reachable over undirected ``edges`` (slide_id, a, b).
 
     Rounds of minimum-over-neighbours, hooking of roots and pointer jumping; each round is written
-    out, and the loop ends at the fix-point. Raises if ``max_rounds`` do not suffice.
+    out, and the loop ends at the fix-point.
     """
     edges = materialise(edges.select("slide_id", "a", "b").distinct(), "edges")
     labels = nodes.select("slide_id", "comp", F.col("comp").alias("root"))
@@ -152,7 +152,7 @@ def merge_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -
         return labels
     both = edges.unionByName(edges.select("slide_id", F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(labels, "labels")
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels.select("slide_id", F.col("comp").alias("b"), F.col("root").alias("_m")), ["slide_id", "b"])
         low = seen.groupBy("slide_id", F.col("a").alias("comp")).agg(F.min("_m").alias("_m"))
         met = labels.join(low, ["slide_id", "comp"], "left").withColumn("_m", F.least("root", F.coalesce("_m", "root")))
@@ -169,7 +169,6 @@ def merge_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -
         labels = stepped.drop("_old")
         if stepped.where("root <> _old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def connected_components(mask: DataFrame, block: int = 128) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,18 @@ MAX_WEIGHT_BYTES = 256 * 1024 * 1024
 EPS = 1e-5
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function by its series with positive terms, so nothing cancels; beyond 6 it is 1 to double precision."""
+    a = np.minimum(np.abs(x), 6.0)
+    term = total = a
+    n = 0
+    while np.any(term > total * 1e-17):
+        term = term * (2 * a * a) / (2 * n + 3)
+        total = total + term
+        n += 1
+    return np.sign(x) * np.minimum(total * np.exp(-a * a) * (2 / math.sqrt(math.pi)), 1.0)
+
+
 @dataclass(frozen=True)
 class Weights:
     """One trained model: gated scorer (value, gate, score) and head, as [in, out] matrices."""
@@ -67,8 +79,7 @@ class Weights:
     def head(self, bags: np.ndarray) -> np.ndarray:
         """[n, dim] -> logits [n, classes - 1] through an exact GELU."""
         hidden = bags @ self.head_in + self.head_in_bias
-        erf = np.frompyfunc(math.erf, 1, 1)(hidden / math.sqrt(2.0)).astype(float)
-        return (0.5 * hidden * (1.0 + erf)) @ self.head_out + self.head_out_bias
+        return (0.5 * hidden * (1.0 + erf(hidden / math.sqrt(2.0)))) @ self.head_out + self.head_out_bias
 
 
 def random_weights(dim: int, window: int, hidden: int, branches: int, n_classes: int = 3, seed: int = 0) -> Weights:
@@ -112,6 +123,9 @@ def _windows(x: np.ndarray, window: int, offsets: Sequence[int]) -> Iterator[np.
 
 def _all_scores(x: np.ndarray, models: Sequence[Weights], offsets: Sequence[int]) -> np.ndarray:
     """[n, models, offsets, branches]"""
+    wrong = [m.head_in.shape[0] for m in models if m.head_in.shape[0] != x.shape[1]]
+    if wrong:
+        raise ValueError(f"patch vectors have width {x.shape[1]}, models expect {wrong[0]}: another encoder or pooling")
     return np.stack([np.stack([m.scores(w) for w in _windows(x, m.window, offsets)], axis=1) for m in models], axis=1)
 
 

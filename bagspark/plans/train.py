@@ -7,6 +7,7 @@ and tasks are independent Spark jobs and run side by side.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -164,19 +165,22 @@ def pooling_comparison(
 
 
 def tune(
-    patches: DataFrame, splits: DataFrame, grid: Sequence[dict], n_trials: int = 40, n_classes: int = 3,
-    options: FitOptions = FitOptions(),
+    patches: DataFrame, splits: DataFrame, grid: Sequence[dict], n_trials: int | None = None, n_classes: int = 3,
+    options: FitOptions = FitOptions(), seed: int = 0,
 ) -> DataFrame:
-    """(trial, pooling, reg_param, fold, score, mean_score, best) over the first ``n_trials`` grid points.
+    """(trial, pooling, reg_param, fold, score, mean_score, best) over the whole grid, or ``n_trials`` points drawn from it.
+
+    Points are drawn by a seeded hash of their values, so the order of the list decides nothing; ``trial`` is the place in it.
 
     Only dev folds are read. The per-fold history is what median pruning works on.
     """
-    trials = list(grid)[:n_trials]
-    arms = sorted({t["pooling"] for t in trials})
+    drawn = sorted(enumerate(grid), key=lambda t: hashlib.sha256(f"{seed}|{sorted(t[1].items())}".encode()).hexdigest())
+    trials = sorted(drawn[:n_trials], key=lambda t: t[0])
+    arms = sorted({t["pooling"] for _, t in trials})
     features = materialise(_labelled(pooled_features(patches, arms), splits), "tuning")
     folds = _folds(splits)
     out = None
-    for number, t in enumerate(trials):
+    for number, t in trials:
         tried = FitOptions(t["reg_param"], options.max_iter, options.parallelism)
         row = _arm_scores(features, [t["pooling"]], folds, n_classes, tried).select(
             F.lit(number).alias("trial"), F.col("arm").alias("pooling"), F.lit(float(t["reg_param"])).alias("reg_param"),

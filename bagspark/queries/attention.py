@@ -283,12 +283,12 @@ def layer_norm(spark, sf):
 
 @query(
     "crop_index",
-    """SELECT slide_id, patch_idx, CAST(floor(patch_idx / 10) AS BIGINT) AS crop,
-       CAST(ceil(count(*) OVER (PARTITION BY slide_id) / 10) AS BIGINT) AS n_crops FROM patches_vec""",
-    "patches_vec",
+    """SELECT slide_id, patch_idx, CAST(floor((row_number() OVER (PARTITION BY slide_id ORDER BY patch_idx) - 1) / 10) AS BIGINT) AS crop,
+       CAST(ceil(count(*) OVER (PARTITION BY slide_id) / 10) AS BIGINT) AS n_crops FROM patches""",
+    "patches",
 )
 def crop_index(spark, sf):
-    return B.crop_index(vectors(spark, sf), 10).select("slide_id", "patch_idx", "crop", "n_crops")
+    return B.crop_index(tables(spark, sf, "patches"), 10).select("slide_id", "patch_idx", "crop", "n_crops")
 
 
 def u(seed, *keys):
@@ -306,6 +306,15 @@ def sample_subbag(spark, sf):
     return B.sample_subbag(tables(spark, sf, "patches"), 256, samples_per_slide=2, seed=7)
 
 
+@query(
+    "evaluation_bag",
+    """SELECT slide_id, 0 AS draw, patch_idx FROM patches QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY patch_idx) <= 256""",
+    "patches",
+)
+def evaluation_bag(spark, sf):
+    return B.sample_subbag(tables(spark, sf, "patches"), 256, train=False)
+
+
 @query(
     "balanced_sample",
     f"""WITH {MAJORITY}, sized AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY label) - 1 AS class_no, count(*) OVER () AS k FROM labelled GROUP BY label),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bagspark.operators import catalog as C
 from bagspark.operators.splits import majority_label
 from bagspark.queries.registry import query, r6, rounded, tables
+from bagspark.queries.splits import MAJORITY
 from bagspark.session import scratch_path
 from bagspark.sources import landed as L
 
@@ -43,6 +44,31 @@ def read_labels(spark, sf):
     return L.read_labels(spark, path, pos_col="pos")
 
 
+@query("read_labels_files", f"WITH {MAJORITY} SELECT * FROM labelled", "raw_labels")
+def read_labels_files(spark, sf):
+    """Votes of one folder of files without a position column: rows count in file order."""
+    path = scratch_path(spark, "labels")
+    tables(spark, sf, "raw_labels").repartitionByRange(7, "pos").sortWithinPartitions("pos").drop("pos").write.csv(path, header=True)
+    return majority_label(L.read_labels(spark, path))
+
+
+@query(
+    "read_heartbeats",
+    """SELECT shard, count(*) FILTER (WHERE ok) AS done, count(*) FILTER (WHERE NOT ok) AS failed, CAST(1 AS BIGINT) AS n_unreadable FROM journal GROUP BY shard""",
+    "journal",
+)
+def read_heartbeats(spark, sf):
+    """One indented document per shard and one that breaks off."""
+    path = scratch_path(spark, "heartbeats")
+    shards = tables(spark, sf, "journal").groupBy("shard").agg(F.count_if("ok").alias("done"), F.count_if(~F.col("ok")).alias("failed"))
+    text = F.to_json(F.struct("shard", "done", "failed"), {"pretty": "true"})
+    broken = shards.agg(F.max("shard").alias("shard")).select(F.lit('{"shard": 1,\n "done"').alias("value"), F.lit(-1).cast("bigint").alias("part"))
+    documents = shards.select(text.alias("value"), F.col("shard").alias("part")).unionByName(broken)
+    documents.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+    beats, unreadable = L.read_heartbeats(spark, path)
+    return beats.select("shard", "done", "failed", F.lit(1).alias("_one")).join(unreadable.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 @query(
     "read_journal",
     """SELECT slide_id, shard, ok, n_patches, round(encode_seconds, 6) + 0.0 AS encode_seconds
@@ -128,11 +154,11 @@ def filter_catalog(spark, sf):
 @query(
     "restrict_to_labelled",
     f"""WITH {DESCRIBED} SELECT file_id, patient_id FROM described
-        WHERE patient_id IN (SELECT patient_id FROM raw_labels)""",
-    "catalog raw_labels",
+        WHERE patient_id IN (SELECT patient_id FROM partly_labelled)""",
+    "catalog partly_labelled",
 )
 def restrict_to_labelled(spark, sf):
-    labels = majority_label(tables(spark, sf, "raw_labels"))
+    labels = majority_label(tables(spark, sf, "partly_labelled"))
     return C.restrict_to_labelled(catalog(spark, sf), labels).select("file_id", "patient_id")
 
 

@@ -10,7 +10,7 @@ from bagspark.operators.splits import make_splits, majority_label
 from bagspark.plans.evaluate import evaluate_locked as evaluate
 from bagspark.queries.ordinal import CUM, with_records
 from bagspark.queries.registry import query, r6, rounded, tables
-from bagspark.queries.splits import SPLIT
+from bagspark.queries.splits import FINGERPRINT, SPLIT
 from bagspark.session import materialise
 
 NAMES = ["qwk", "macro_f1", "balanced_accuracy", "accuracy", "adjacent_accuracy", "mean_absolute_error"]
@@ -173,7 +173,7 @@ def patient_models(spark, sf):
     "evaluate_locked",
     f"""WITH {SPLIT}, {LOCKED}, {metric_ctes('locked', 'g')}
         SELECT n, {ROUNDED}, (SELECT round(avg(spread), 6) + 0.0 FROM locked) AS mean_spread,
-               (SELECT substr(sha256(string_agg(patient_id, '|' ORDER BY patient_id)), 1, 16) FROM splits WHERE is_test) AS fingerprint,
+               {FINGERPRINT.format('splits')} AS fingerprint,
                3 AS n_models FROM metrics""",
     "raw_labels",
 )

@@ -34,6 +34,12 @@ LOGICAL: dict[str, str] = {
                o_orderstatus AS status, o_orderpriority AS priority
         FROM orders""",
     "raw_labels": """
+        SELECT concat('TCGA-', lpad(CAST(o_custkey % 97 AS STRING), 2, '0'), '-',
+                      lpad(CAST(o_custkey AS STRING), 6, '0')) AS patient_id,
+               CAST(substr(o_orderpriority, 1, 1) AS INT) % 3 AS label,
+               o_orderkey AS pos
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "partly_labelled": """
         SELECT concat('TCGA-', lpad(CAST(o_custkey % 97 AS STRING), 2, '0'), '-',
                       lpad(CAST(o_custkey AS STRING), 6, '0')) AS patient_id,
                CAST(substr(o_orderpriority, 1, 1) AS INT) % 3 AS label,

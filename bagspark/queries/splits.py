@@ -10,6 +10,10 @@ from bagspark.session import materialise, scratch_path
 from bagspark.sources.splits_io import load_splits as load
 from bagspark.sources.splits_io import write_splits as write
 
+FINGERPRINT = """(SELECT substr(sha256(coalesce(string_agg(d, '|' ORDER BY d), '')), 1, 16) FROM (
+    SELECT sha256(string_agg(d, '|' ORDER BY d)) AS d FROM (
+        SELECT substr(md5(patient_id), 1, 5) AS b, sha256(string_agg(patient_id, '|' ORDER BY patient_id)) AS d FROM {} WHERE is_test GROUP BY 1)
+    GROUP BY substr(b, 1, 2)))"""
 MAJORITY = """voted AS (SELECT patient_id, label, count(*) AS n, min(pos) AS first_pos FROM raw_labels GROUP BY patient_id, label),
 labelled AS (SELECT patient_id, label FROM voted
              QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY n DESC, first_pos) = 1)"""
@@ -71,7 +75,7 @@ def stratified_kfold(spark, sf):
 
 @query(
     "fingerprint",
-    f"WITH {HELD} SELECT substr(sha256(string_agg(patient_id, '|' ORDER BY patient_id)), 1, 16) AS fingerprint FROM held WHERE is_test",
+    f"WITH {HELD} SELECT {FINGERPRINT.format('held')} AS fingerprint",
     "raw_labels",
 )
 def fingerprint(spark, sf):
@@ -87,9 +91,9 @@ def stored(spark, sf):
 
 @query(
     "write_splits",
-    f"""WITH {SPLIT} SELECT substr(sha256(string_agg(patient_id, '|' ORDER BY patient_id)), 1, 16) AS fingerprint,
+    f"""WITH {SPLIT} SELECT {FINGERPRINT.format('splits')} AS fingerprint,
         CAST(20260820 AS BIGINT) AS seed, 0.15e0 AS test_frac, 5 AS n_folds,
-        CAST((SELECT max(label) + 1 FROM labelled) AS INT) AS n_classes FROM splits WHERE is_test""",
+        CAST((SELECT max(label) + 1 FROM labelled) AS INT) AS n_classes""",
     "raw_labels",
 )
 def write_splits(spark, sf):

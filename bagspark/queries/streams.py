@@ -20,12 +20,12 @@ def journal_stream(spark, sf):
 
 @query(
     "stream_ingest",
-    """SELECT slide_id, patch_idx, CASE WHEN label = 0 THEN 'cls_mean' ELSE 'cls' END AS pooling,
-       CASE WHEN label = 0 THEN 'diverted' ELSE 'accepted' END AS outcome FROM patches_vec""",
+    """SELECT slide_id, patch_idx, 'cls' AS pooling, 'accepted' AS outcome FROM patches_vec WHERE label <> 0
+       UNION ALL SELECT slide_id, patch_idx, 'cls_mean', 'diverted' FROM patches_vec""",
     "patches_vec",
 )
 def stream_ingest(spark, sf):
-    """Half the rows land twice and two chained runs with their own checkpoints take them in."""
+    """Some rows land twice, most keys with both poolings in one batch; two chained runs with their own checkpoints take them in."""
     rows = tables(spark, sf, "patches_vec").select(
         "slide_id", "patch_idx", (F.col("patch_idx") * 448).alias("x"), F.lit(0).cast("bigint").alias("y"),
         F.lit("h-optimus-0").alias("encoder"),
@@ -34,7 +34,7 @@ def stream_ingest(spark, sf):
     src, store = scratch_path(spark, "arrivals"), scratch_path(spark, "store")
     rows.where("pooling = 'cls'").write.mode("append").parquet(src)
     I.stream_ingest(spark, src, store, scratch_path(spark, "ckpt")).awaitTermination()
-    rows.write.mode("append").parquet(src)
+    rows.unionByName(rows.withColumn("pooling", F.lit("cls_mean"))).coalesce(1).write.mode("append").parquet(src)
     I.stream_ingest(spark, src, store, scratch_path(spark, "ckpt")).awaitTermination()
     kept = [
         spark.read.parquet(f"{store}/{part}").select("slide_id", "patch_idx", "pooling", F.lit(part).alias("outcome"))

@@ -35,8 +35,8 @@ def attach_stats(
     already is): the aggregation then runs once, and Spark picks a broadcast or a shuffled join
     from the real size of the table. When some group has more than ``hot_rows`` rows, it is cut
     into ``ceil(n / hot_rows)`` pieces by a hash of ``spread`` and its statistics row is repeated
-    once per piece. The table of hot groups cannot exceed total_rows / hot_rows entries, so it is
-    safe to broadcast whatever the number of groups.
+    once per piece. The table of hot groups has at most total_rows / hot_rows entries; Spark knows its
+    size and decides how to join it.
     """
     keys = list(keys)
     if not written:
@@ -46,7 +46,7 @@ def attach_stats(
     if hot.isEmpty():
         return rows.join(kept, keys)
     pieces = F.ceil(F.col(n_col) / F.lit(float(hot_rows))).cast("int")
-    salted_rows = rows.join(F.broadcast(hot.select(*keys, pieces.alias("_pieces"))), keys, "left").withColumn(
+    salted_rows = rows.join(hot.select(*keys, pieces.alias("_pieces")), keys, "left").withColumn(
         "_salt",
         F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*spread), F.col("_pieces").cast("bigint")).cast("int")
@@ -185,14 +185,14 @@ def order_statistics(
 ) -> DataFrame:
     """Exact order statistics per group: ``keys, n, <one column per rank>``.
 
-    ``ranks`` maps an output name to a 1-based ascending rank computed from the group size.
+    ``ranks`` maps an output name to a 1-based ascending rank computed from the group size. Nulls and NaN are left out.
     When no group exceeds ``hot_rows`` a ranking window does it in one shuffle. Otherwise the
     value range of each group is binned twice, each time counting with map-side combine and
     keeping only the bin that holds the wanted rank, so that little of a hot group is shuffled.
     The located bins, a few rows per group, are written between the passes over the rows.
     """
     keys = list(keys)
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     n = F.col("n")
     clamp = {k: F.least(F.greatest(r(n).cast("bigint"), F.lit(1)), n) for k, r in ranks.items()}
     if largest_group(base, keys) <= hot_rows:
@@ -298,10 +298,13 @@ def extreme_rows(
 ) -> DataFrame:
     """The ``size(n)`` rows of each group with the largest (smallest) value, ties by ``tie``.
 
+    Rows without a value (null or NaN) are neither counted nor returned, at any group size.
+
     With a group above ``hot_rows`` the boundary value is selected first, and only the rows that
     are equal to it are ranked, over sampled ranges.
     """
     keys = list(keys)
+    df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     direction = F.desc if largest else F.asc
     if largest_group(df, keys) <= hot_rows:
         w = W.partitionBy(*keys)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bagspark.operators.catalog import describe_files
@@ -15,6 +16,8 @@ JOURNAL_SCHEMA = (
     "slide_id bigint, shard bigint, ts timestamp, ok boolean, n_patches bigint, "
     "encode_seconds double, grid_seconds double, write_seconds double"
 )
+HEARTBEAT_SCHEMA = "shard bigint, status string, done bigint, failed bigint, total bigint, updated_at double"
+LARGEST_VALUE = (1 << 31) - 1
 
 
 def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -32,12 +35,20 @@ def read_labels(
     spark: SparkSession, path: str, id_col: str = "patient_id", label_col: str = "label",
     pos_col: str | None = None,
 ) -> DataFrame:
-    """(patient_id, label, pos) votes from CSV; ``pos`` is the row order that settles ties."""
+    """(patient_id, label, pos) votes from CSV; ``pos`` is the row order that settles ties.
+
+    Without ``pos_col`` rows count in the order of their file's path, then of their place in the file. How Spark packs
+    files into tasks does not matter: blocks of files are ranked, and rows are numbered within their block.
+    """
     names = spark.read.csv(path, header=True, inferSchema=False)
-    pos = F.col(pos_col).cast("bigint") if pos_col else F.monotonically_increasing_id()
-    return names.select(
-        F.col(id_col).alias("patient_id"), F.col(label_col).cast("int").alias("label"), pos.alias("pos")
-    )
+    vote = [F.col(id_col).alias("patient_id"), F.col(label_col).cast("int").alias("label")]
+    if pos_col:
+        return names.select(*vote, F.col(pos_col).cast("bigint").alias("pos"))
+    block = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = names.select(*vote, *block, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    ranks = rows.select("_path", "_start").distinct().withColumn("_rank", F.row_number().over(W.orderBy("_path", "_start")).cast("bigint"))
+    pos = F.shiftleft("_rank", 33) + F.col("_row")
+    return rows.join(ranks, ["_path", "_start"]).select("patient_id", "label", pos.alias("pos"))
 
 
 def read_journal(spark: SparkSession, path: str, schema: str = JOURNAL_SCHEMA) -> DataFrame:
@@ -51,13 +62,30 @@ def read_journal(spark: SparkSession, path: str, schema: str = JOURNAL_SCHEMA) -
     return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+def read_heartbeats(spark: SparkSession, path: str, schema: str = HEARTBEAT_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """(heartbeats, one row ``n_unreadable``): one indented JSON document per shard file, with its file name.
+
+    Documents that cannot be read are left out and counted.
+    """
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file_name")
+    parsed = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    documents = spark.read.text(path, wholetext=True).select(name, parsed.alias("d"))
+    broken = F.col("d").isNull() | F.col("d._broken").isNotNull()
+    return documents.where(~broken).select("d.*", "file_name").drop("_broken"), documents.agg(F.count_if(broken).alias("n_unreadable"))
+
+
 def scan_landed(spark: SparkSession, path: str, with_md5: bool = True) -> DataFrame:
-    """(file_name, length, md5) of landed files. Without checksums no content is loaded."""
+    """(file_name, length, md5) of landed files. Without checksums no content is loaded.
+
+    A task cannot hold a file of 2 GiB or more as one value; of these only the length is read, and the checksum is null.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    md5 = F.md5("content") if with_md5 else F.lit(None).cast("string")
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", md5.alias("md5")
-    )
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    unchecked = F.lit(None).cast("string").alias("md5")
+    if not with_md5:
+        return files.select(name, "length", unchecked)
+    small = files.where(F.col("length") < LARGEST_VALUE).select(name, "length", F.md5("content").alias("md5"))
+    return small.unionByName(files.where(F.col("length") >= LARGEST_VALUE).select(name, "length", unchecked))
 
 
 MANIFEST_SCHEMA = (

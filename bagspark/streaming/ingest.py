@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +13,11 @@ FEATURES_SCHEMA = (
     "slide_id bigint, patch_idx bigint, x bigint, y bigint, encoder string, pooling string, features array<float>"
 )
 KEYS = ["slide_id", "patch_idx"]
+BUCKETS = 256
+
+
+def bucket_of() -> Column:
+    return F.pmod(F.xxhash64("slide_id"), F.lit(BUCKETS)).cast("int")
 
 
 def stream_ingest(
@@ -27,28 +33,37 @@ def stream_ingest(
 
     Processes what has landed and stops, so short bounded runs add up to the cohort. Every
     micro-batch owns one partition directory that a retry overwrites, and drops rows that the rest
-    of the store already has, so neither a retry nor a second checkpoint can duplicate a row.
-    A missing pooling attribute counts as cls.
+    of the store already has, so neither a retry nor a second checkpoint can duplicate a row. A row is
+    known by slide, patch and pooling; of several in one batch the first by encoder, then by a hash of
+    its vector, stays. A missing pooling attribute counts as cls.
+
+    The store is laid out in buckets by a hash of the slide, and a batch only looks into the buckets of
+    its own slides, so its cost does not follow the history of the store.
     """
     accepted, diverted = f"{store}/accepted", f"{store}/diverted"
     tag = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     empty = spark.createDataFrame([], schema)
     for path in (accepted, diverted):
-        empty.write.mode("ignore").parquet(f"{path}/ingest=none")
-    stored_schema = empty.schema.add("ingest", "string")
+        empty.write.mode("ignore").parquet(f"{path}/ingest=none/bucket=0")
+    stored_schema = empty.schema.add("ingest", "string").add("bucket", "integer")
+    known_by = [*KEYS, "pooling"]
+    first = W.partitionBy(*known_by).orderBy("encoder", F.xxhash64("features"))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         name = f"{tag}-{batch_id}"
         session = batch.sparkSession
-        batch = batch.withColumn("pooling", F.coalesce("pooling", F.lit("cls"))).dropDuplicates(KEYS)
+        named = batch.withColumn("pooling", F.coalesce("pooling", F.lit("cls"))).withColumn("bucket", bucket_of())
+        batch = named.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
         batch.persist()
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
         for path, rows in (
             (accepted, batch.where(F.col("pooling") == pooling)),
             (diverted, batch.where(F.col("pooling") != pooling)),
         ):
-            others = session.read.schema(stored_schema).parquet(path).where(F.col("ingest") != name)
-            fresh = rows.join(others.select(*KEYS), KEYS, "left_anti")
-            fresh.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.mode("overwrite").parquet(f"{path}/ingest={name}")
+            others = session.read.schema(stored_schema).parquet(path).where((F.col("ingest") != name) & F.col("bucket").isin(touched))
+            fresh = rows.join(others.select(*known_by), known_by, "left_anti")
+            ranged = fresh.repartitionByRange("bucket", *KEYS).sortWithinPartitions("bucket", *KEYS)
+            ranged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/ingest={name}")
         batch.unpersist()
 
     reader = spark.readStream.schema(schema)

@@ -155,3 +155,25 @@ def test_token_pooling_keeps_cls_first(spark):
     out = K.cls_mean_pool(spark.createDataFrame(rows, "tile_id bigint, token bigint, features array<float>")).collect()
     for r in out:
         assert np.allclose(r["features"], np.r_[x[r["tile_id"], 0], x[r["tile_id"], 1:].mean(0)], atol=1e-6)
+
+
+def test_sparse_patch_ids_are_cropped_by_position(spark):
+    df = spark.createDataFrame([(1, 1000 * k) for k in range(25)] + [(2, 7)], "slide_id bigint, patch_idx bigint")
+    out = B.crop_index(df, 10).orderBy("slide_id", "patch_idx").collect()
+    assert [r["crop"] for r in out] == [k // 10 for k in range(25)] + [0] and {r["n_crops"] for r in out if r["slide_id"] == 1} == {3}
+    assert B.sample_subbag(df, 10, train=False).groupBy("slide_id").count().orderBy("slide_id").collect() == [(1, 10), (2, 1)]
+
+
+def test_erf_is_exact_and_other_widths_are_refused(spark):
+    import math
+
+    import numpy as np
+
+    from bagspark.plans import scoring
+
+    x = np.concatenate([np.linspace(-8, 8, 4001), [0.0, 1e-300, -1e-9]])
+    assert np.abs(scoring.erf(x) - np.array([math.erf(v) for v in x])).max() < 1e-14
+    model = scoring.random_weights(64, 16, 4, 2)
+    patches = spark.createDataFrame([(1, 0, [0.5] * 48)], "slide_id bigint, patch_idx bigint, features array<float>")
+    with pytest.raises(Exception, match="width 48"):
+        scoring.score_arrays(patches, [model]).collect()

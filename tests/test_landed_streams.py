@@ -137,3 +137,47 @@ def test_notifications_survive_a_broken_sink(spark, folder):
     lines = open(log).read().splitlines()
     assert sum("FINISHED" in t for t in lines) == 2
     assert sum(t.startswith("[shard 0] 20 done") for t in lines) == 1 and sum(t.startswith("[shard 1]") for t in lines) == 2
+
+
+def test_first_vote_follows_file_order_whatever_the_file_sizes(spark, folder):
+    import os
+
+    os.makedirs(f"{folder}/votes")
+    for name, rows in (("a", [("P1", 0)]), ("b", [("P1", 2)] + [(f"Q{k}", 1) for k in range(3000)])):
+        with open(f"{folder}/votes/{name}.csv", "w") as f:
+            f.write("patient_id,label\n" + "".join(f"{p},{x}\n" for p, x in rows))
+    from bagspark.operators.splits import majority_label
+
+    votes = L.read_labels(spark, f"{folder}/votes")
+    assert majority_label(votes).where("patient_id = 'P1'").first()["label"] == 0
+    order = [r["patient_id"] for r in votes.orderBy("pos").collect()]
+    assert order == ["P1", "P1", *[f"Q{k}" for k in range(3000)]]
+
+
+def test_keys_with_both_poolings_in_one_batch_lose_nothing(spark, folder):
+    from pyspark.sql import functions as F
+
+    from bagspark.streaming.ingest import stream_ingest
+
+    keys = spark.range(200).select((F.col("id") % 7).alias("slide_id"), F.col("id").alias("patch_idx"), F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit("e").alias("encoder"))
+    vector = F.array(F.lit(1.0).cast("float")).alias("features")
+    rows = [keys.select("*", F.lit(p).cast("string").alias("pooling"), vector) for p in ("cls_mean", "cls", None)]
+    rows[0].unionByName(rows[1]).unionByName(rows[2]).coalesce(1).write.parquet(f"{folder}/in")
+    for checkpoint in ("c1", "c2"):
+        stream_ingest(spark, f"{folder}/in", f"{folder}/store", f"{folder}/{checkpoint}").awaitTermination()
+    for part in ("accepted", "diverted"):
+        out = spark.read.parquet(f"{folder}/store/{part}")
+        assert out.count() == out.select("slide_id", "patch_idx").distinct().count() == 200
+
+
+def test_heartbeats_are_read_and_broken_ones_counted(spark, folder):
+    import json
+    import os
+
+    os.makedirs(f"{folder}/beats")
+    for k in range(3):
+        with open(f"{folder}/beats/shard{k}.json", "w") as f:
+            f.write(json.dumps({"shard": k, "status": "running", "done": 5 * k, "extra": 1}, indent=2) if k else '{"shard": 9,\n')
+    beats, unreadable = L.read_heartbeats(spark, f"{folder}/beats")
+    assert sorted((r["shard"], r["done"], r["file_name"]) for r in beats.collect()) == [(1, 5, "shard1.json"), (2, 10, "shard2.json")]
+    assert unreadable.first()[0] == 1

@@ -152,3 +152,12 @@ def test_loss_report_parts(spark):
     assert np.isclose(row["total"], 1.0 + 0.2 + 0.04)
     mixed = losses.loss_report(parts, lambda_qwk=1.0, mixed=True).first()
     assert mixed["qwk"] is None
+
+
+def test_grades_outside_the_classes_are_counted(spark):
+    from bagspark.operators.metrics import grading_metrics
+
+    df = spark.createDataFrame([(0, 0), (1, 1), (3, 3), (2, 3)], "y_true int, y_pred int")
+    r = grading_metrics(df).first()
+    assert (r["n"], r["accuracy"], r["adjacent_accuracy"], r["mean_absolute_error"]) == (4, 0.75, 1.0, 0.25)
+    assert r["f1_2"] == 0.0 and r["qwk"] == 1.0

@@ -112,3 +112,18 @@ def test_materialise_uses_the_configured_folder(spark):
 
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_both_paths_leave_out_nulls_and_nan_and_break_ties_alike(spark, largest):
+    values = [None, float("nan"), 1.0, 1.0, 2.0, None, 2.0, 2.0, 0.5, float("nan")] * 4
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "slide_id bigint, patch_idx bigint, v double")
+    size = lambda n: F.ceil(n * 0.25)
+    got = [
+        sorted((r["patch_idx"], r["v"]) for r in skew.extreme_rows(df, ["slide_id"], "v", "patch_idx", size, largest, hot_rows=hot).collect())
+        for hot in (2_000_000, 2)
+    ]
+    assert got[0] == got[1] and len(got[0]) == 6
+    ranks = {"low": lambda n: F.lit(1), "high": lambda n: n}
+    stats = [skew.order_statistics(df, ["slide_id"], "v", ranks, hot_rows=hot).collect()[0].asDict() for hot in (2_000_000, 2)]
+    assert stats[0] == stats[1] == {"slide_id": 1, "n": 24, "low": 0.5, "high": 2.0}
