@@ -11,6 +11,9 @@ shingle that is not shared, so bit counts bound the overlap from above; pairs th
 intersecting the sorted sets. First each tile is only compared with its smallest document (a star); what that
 joins is contracted, and just tiles that still hold several components are compared within, in blocks, skipping
 pairs already joined. So a group of near copies costs about one comparison per copy.
+
+Whole sets only go to stars and to pairs that pass the bound; tiles get the bitmaps. A block offers at first a few
+pairs per set and component; if it had more, the round is repeated on the contracted components with more.
 """
 
 from __future__ import annotations
@@ -33,8 +36,11 @@ SHINGLE = 5
 PART, WHOLE = 75, 100
 BLOCK = 2000
 CLASS = "chunk int, doc_id long, n_shingles long, f1 long, f2 long"
-SIGNED = "node long, n long, tokens array<long>, members binary"
+SIGNED = "node long, n long, tokens array<long>, map binary, members binary"
 EDGES = "a long, b long"
+PAIRS = "a long, b long, more boolean"
+OFFERS = 8
+BITS_PER_SHINGLE = 4
 
 
 def shingle_sets(texts, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +86,26 @@ def needed(a, b):
     return -(-PART * (a + b) // (PART + WHOLE))
 
 
-def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
-    """One row of ``width`` bits per set: bit (hash mod width) of each member."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets) & np.uint64(width - 1) if sets else np.zeros(0, np.uint64)
-    dense = np.zeros((len(sets), width), bool)
-    dense[owner, flat.astype(np.int64)] = True
-    return np.packbits(dense, axis=1).view(np.uint64)
+def width_of(n: int) -> int:
+    return max(64, 1 << int(np.ceil(np.log2(BITS_PER_SHINGLE * n))))
+
+
+def bitmap(members: np.ndarray) -> bytes:
+    """Bit (hash mod width) of each member; the width is a power of two, so halves can be folded together."""
+    width = width_of(len(members))
+    dense = np.zeros(width, bool)
+    dense[(members & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(dense, bitorder="little").tobytes()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps of similar sizes at the smallest of their widths, one row of 64-bit words each."""
+    width = min(map(len, maps))
+    rows = np.zeros((len(maps), width), np.uint8)
+    for row, m in zip(rows, maps):
+        for at in range(0, len(m), width):
+            row |= np.frombuffer(m, np.uint8, width, at)
+    return rows.view(np.uint64)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -96,17 +115,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def similar_to(pivot: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, maps: np.ndarray) -> np.ndarray:
-    """Those of ``others`` that are similar to ``pivot``: sizes, then bit counts, then the sets themselves."""
-    n, m = sizes[pivot], sizes[others]
-    others = others[(PART * np.maximum(n, m) <= WHOLE * np.minimum(n, m))]
-    if not len(others):
-        return others
+def bound(pivot: int, others: np.ndarray, sizes: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """The largest overlap with ``pivot`` that the bit counts allow, per other set."""
     own = np.bitwise_count(maps[pivot] & ~maps[others]).sum(axis=1, dtype=np.int64)
     theirs = np.bitwise_count(maps[others] & ~maps[pivot]).sum(axis=1, dtype=np.int64)
-    bound = np.minimum(n - own, sizes[others] - theirs)
-    likely = others[bound >= needed(n, sizes[others])]
-    return np.array([o for o in likely if overlap(sets[pivot], sets[o]) >= needed(n, sizes[o])], np.int64)
+    return np.minimum(sizes[pivot] - own, sizes[others] - theirs)
 
 
 def bands(sizes: np.ndarray) -> np.ndarray:
@@ -114,59 +127,73 @@ def bands(sizes: np.ndarray) -> np.ndarray:
     return np.floor(np.log(sizes) / np.log(WHOLE / PART) + 1e-9).astype(np.int64)
 
 
-def tile_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that join different components within a tile; ``side`` 0 and 1 are compared with each other, 2 with all of its kind."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+def offers(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, maps: list[bytes], side: np.ndarray, most: int) -> Iterator[tuple[int, int, bool]]:
+    """Pairs of different components in a tile whose bit counts allow a link: (a, b, whether more were held back).
+
+    ``side`` 0 and 1 are compared with each other, 2 with all of its kind. Of the pairs of one set with one component
+    the ``most`` likely ones are offered.
+    """
     band = bands(sizes)
-    label = labels.copy()
     for b in np.unique(band):
         rows = np.flatnonzero((band == b) | (band == b + 1))
-        if len(np.unique(label[rows])) < 2:
+        label, n, own_side = labels[rows], sizes[rows], side[rows]
+        if len(np.unique(label)) < 2:
             continue
-        width = max(64, 1 << int(np.ceil(np.log2(2 * sizes[rows].max()))))
-        maps = np.zeros((len(nodes), width // 64), np.uint64)
-        maps[rows] = bitmaps([sets[r] for r in rows], width)
-        for x in rows[band[rows] == b]:
-            other = rows[(band[rows] == b + 1) | (rows > x)]
-            other = other[(label[other] != label[x]) & ((side[other] == 2) | (side[other] != side[x]))]
-            for y in similar_to(x, other, sets, sizes, maps) if len(other) else ():
-                if label[y] != label[x]:
-                    yield int(nodes[x]), int(nodes[y])
-                    label[label == label[y]] = label[x]
-
-
-def column_sets(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
-
-
-def edges_table(links) -> pa.Table:
-    a, b = zip(*links) if links else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        bits = folded([maps[r] for r in rows])
+        for x in np.flatnonzero(band[rows] == b):
+            other = np.arange(len(rows))
+            near = ((band[rows] == b + 1) | (other > x)) & (label != label[x]) & ((own_side == 2) | (own_side != own_side[x]))
+            other = other[near & (PART * np.maximum(n, n[x]) <= WHOLE * np.minimum(n, n[x]))]
+            if len(other):
+                room = bound(x, other, n, bits) - needed(n[x], n[other])
+                other, room = other[room >= 0], room[room >= 0]
+                for l in np.unique(label[other]):
+                    at = np.flatnonzero(label[other] == l)
+                    at = at[np.argsort(-room[at], kind="stable")]
+                    for y in other[at[:most]]:
+                        yield int(nodes[rows[x]]), int(nodes[rows[y]]), len(at) > most
+
+
+def edges_table(links, names=("a", "b")) -> pa.Table:
+    columns = list(zip(*links)) if links else [()] * len(names)
+    return pa.table({n: pa.array(c, pa.bool_() if n == "more" else pa.int64()) for n, c in zip(names, columns)})
 
 
 def star_links(table: pa.Table) -> pa.Table:
     """Members of one hub's tiles that are similar to the hub (the row with node = hub)."""
     nodes, hub = table.column("node").to_numpy(), table.column("hub")[0].as_py()
-    sets = column_sets(table)
-    sizes = np.array([len(s) for s in sets], np.int64)
+    sizes, maps, members = table.column("n").to_numpy(), table.column("map").to_pylist(), table.column("members").to_pylist()
     pivot = int(np.flatnonzero(nodes == hub)[0])
-    near = np.flatnonzero((np.abs(bands(sizes) - bands(sizes[pivot : pivot + 1])) <= 1) & (nodes != hub))
+    near = np.flatnonzero((PART * np.maximum(sizes, sizes[pivot]) <= WHOLE * np.minimum(sizes, sizes[pivot])) & (nodes != hub))
     if not len(near):
         return edges_table([])
-    width = max(64, 1 << int(np.ceil(np.log2(2 * sizes[[pivot, *near]].max()))))
-    maps = np.zeros((len(nodes), width // 64), np.uint64)
-    chosen = np.append(near, pivot)
-    maps[chosen] = bitmaps([sets[r] for r in chosen], width)
-    return edges_table([(int(nodes[y]), hub) for y in similar_to(pivot, near, sets, sizes, maps)])
+    rows = np.append(near, pivot)
+    bits, n = folded([maps[r] for r in rows]), sizes[rows]
+    likely = near[bound(len(near), np.arange(len(near)), n, bits) >= needed(n[-1], n[:-1])]
+    centre = np.frombuffer(members[pivot], np.uint64)
+    links = [(int(nodes[y]), hub) for y in likely if overlap(centre, np.frombuffer(members[y], np.uint64)) >= needed(sizes[pivot], sizes[y])]
+    return edges_table(links)
+
+
+def block_offers(most: int):
+    """The kernel for two blocks of a tile, or for one with itself."""
 
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+        block = table.column("block").to_numpy()
+        side = np.full(len(block), 2) if left == right else (block == right).astype(np.int64)
+        found = offers(table.column("node").to_numpy(), table.column("label").to_numpy(), table.column("n").to_numpy(), table.column("map").to_pylist(), side, most)
+        return edges_table(list(found), ("a", "b", "more"))
 
-def block_links(table: pa.Table) -> pa.Table:
-    """Joining links between the blocks left and right of a tile, or within it where they are the same."""
-    table = table.sort_by("node")
-    left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
-    block = table.column("block").to_numpy()
-    side = np.full(len(block), 2) if left == right else (block == right).astype(np.int64)
-    return edges_table(list(tile_links(table.column("node").to_numpy(), table.column("label").to_numpy(), column_sets(table), side)))
+    return kernel
+
+
+def true_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, members, other) that are similar."""
+    for batch in batches:
+        sets = [[np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3)]
+        yield batch.select([0, 1]).filter(pa.array([overlap(x, y) >= needed(len(x), len(y)) for x, y in zip(*sets)], pa.bool_()))
 
 
 def signed(docs_chunks, classes: DataFrame, bits: int) -> DataFrame:
@@ -199,6 +226,7 @@ def signed(docs_chunks, classes: DataFrame, bits: int) -> DataFrame:
             chosen_rows.append(t)
             tokens.append(own[shared[np.argsort(e[shared], kind="stable")[: first[t]]]].view(np.int64))
         yield {"node": ids[chosen_rows], "n": n[chosen_rows], "tokens": pa.array(tokens, pa.list_(pa.int64())),
+               "map": [bitmap(sets[bounds[t] : bounds[t + 1]]) for t in chosen_rows],
                "members": [sets[bounds[t] : bounds[t + 1]].tobytes() for t in chosen_rows]}
 
     both = estimated.unionByName(holders, allowMissingColumns=True)
@@ -212,12 +240,12 @@ def star_edges(tokens: DataFrame, sets: DataFrame) -> DataFrame:
     ways = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ways"))
     dealt = pairs.join(ways, "hub").withColumn("way", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")).drop("ways")
     centres = ways.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
-    rows = dealt.unionByName(centres).join(sets.select("node", "members"), "node")
+    rows = dealt.unionByName(centres).join(sets.select("node", "n", "map", "members"), "node")
     return rows.groupBy("hub", "way").applyInArrow(star_links, EDGES)
 
 
-def tile_edges(tokens: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between components that still meet in a tile. Tiles with the same members are compared once."""
+def tile_offers(tokens: DataFrame, sets: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(a, b, more): pairs of components that still meet in a tile. Tiles with the same members are compared once."""
     named = tokens.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
     tiles = named.groupBy("token").agg(
         F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
@@ -228,8 +256,21 @@ def tile_edges(tokens: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFra
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", "node", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
     )
-    rows = spread.join(sets.select("node", "members"), "node")
-    return rows.groupBy("token", "left", "right").applyInArrow(block_links, EDGES)
+    rows = spread.join(sets.select("node", "n", "map"), "node")
+    return rows.groupBy("token", "left", "right").applyInArrow(block_offers(most), PAIRS)
+
+
+def tile_edges(tokens: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` and those found within tiles, round by round until no block held a pair back."""
+    most = OFFERS
+    while True:
+        offered = materialise(tile_offers(tokens, sets, components(links), most), "offers")
+        other = sets.select(F.col("node").alias("b"), F.col("members").alias("other"))
+        pairs = offered.select("a", "b").distinct().join(sets.select(F.col("node").alias("a"), "members"), "a").join(other, "b")
+        links = materialise(links.unionByName(pairs.select("a", "b", "members", "other").mapInArrow(true_pairs, EDGES)), "links")
+        if offered.where("more").isEmpty():
+            return links
+        most *= 16
 
 
 def components_of(chunks) -> DataFrame:
@@ -248,12 +289,11 @@ def components_of(chunks) -> DataFrame:
     classes = materialise(classes, "classes")
     sets = signed(chunks, classes.select("chunk", F.col("node").alias("doc_id")).distinct(), bits)
     tokens = materialise(sets.select(F.explode("tokens").alias("token"), "node").distinct(), "tokens")
-    stars = materialise(star_edges(tokens, sets), "links")
-    found = materialise(tile_edges(tokens, sets, components(stars)), "links")
+    links = tile_edges(tokens, sets, materialise(star_edges(tokens, sets), "links"))
     placed = materialise(rows.join(classes.drop("chunk"), keys, "left").select("chunk", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "placed")
     several = placed.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("high")
     same_id = placed.where("node is not null").join(several, "doc_id").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    of = components(stars.unionByName(found).unionByName(same_id))
+    of = components(links.unionByName(same_id))
     return placed.join(of, "node", "left").select("chunk", "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
