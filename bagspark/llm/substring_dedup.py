@@ -154,9 +154,10 @@ def substring_dedup(docs: DataFrame, length: int = 13, doc_id: str = "doc_id", t
             covered = np.cumsum(step)[:-1] > 0
             data, offsets = without(words, covered)
             text = pa.LargeStringArray.from_buffers(end - first, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
-            if keep_whole and not covered.any():
-                text = table.column("text").slice(first, end - first)
             removed = np.bincount(words.owner(), covered, minlength=end - first).astype(np.int64)
+            if keep_whole:
+                given = table.column("text").slice(first, end - first).combine_chunks()
+                text = pc.if_else(pa.array(removed > 0), text.cast(given.type), given)
             yield {"doc_id": ids.slice(first, end - first), "n_words": words.counts, "n_removed": removed, "kept_text": text,
                    **{c: table.column(c).slice(first, end - first) for c in names}}
 
