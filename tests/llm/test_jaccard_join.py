@@ -3,6 +3,7 @@ import random
 import pytest
 
 from bagspark.llm import chunks, jaccard_join
+from bagspark.llm import components as components_module
 from bagspark.llm.components import components
 from bagspark.llm.jaccard_join import jaccard_components, one_per_component
 from tests.llm.helpers import corpus, frame, lower, words
@@ -40,6 +41,7 @@ def test_equals_brute_force(spark, monkeypatch, seed, size, block):
     monkeypatch.setattr(chunks, "CHUNK_BYTES", size)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "OFFERS", 1 if block == 3 else 8)
+    monkeypatch.setattr(components_module, "LOCAL_EDGES", 0 if block == 3 else 1 << 20)
     rows = corpus(seed, 80)
     rows += [rows[0], (rows[1][0], rows[2][1]), (None, rows[0][1]), (None, None)]
     assert got(jaccard_components(frame(spark, rows))) == plain(rows)
@@ -69,7 +71,9 @@ def test_one_document_of_each_component_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, "A b c d e f"), (9, None), (8, ""), (None, "a b c d e f"), (None, None)], key=str)
 
 
-def test_components_of_a_path_a_star_and_loops(spark):
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_components_of_a_path_a_star_and_loops(spark, monkeypatch, local):
+    monkeypatch.setattr(components_module, "LOCAL_EDGES", local)
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{k: 0 for k in range(31)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
