@@ -24,6 +24,7 @@ from bagspark.functions.vectors import window_offsets
 from bagspark.operators.attention import map_summary
 from bagspark.operators.bags import pick_offsets
 from bagspark.operators.metrics import crop_average, ensemble_predict, prediction_record
+from bagspark.session import materialise
 from bagspark.skew import attach_stats
 
 MAX_WEIGHT_BYTES = 256 * 1024 * 1024
@@ -242,9 +243,13 @@ def mlp_head(bags: DataFrame, models: Sequence[Weights]) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def head(bag: pd.Series, model: pd.Series) -> pd.Series:
-        x = np.stack(bag.to_numpy())
-        logits = np.stack([m.head(x) for m in models])
-        return pd.Series(list(logits[model.to_numpy(), np.arange(len(x))]))
+        x, chosen = np.stack(bag.to_numpy()), model.to_numpy()
+        logits = np.empty(len(x), object)
+        for k in np.unique(chosen):
+            at = np.flatnonzero(chosen == k)
+            for row, values in zip(at, models[k].head(x[at])):
+                logits[row] = values
+        return pd.Series(logits)
 
     return bags.withColumn("logits", head("bag", "model"))
 
@@ -253,9 +258,9 @@ def patch_attention(
     patches: DataFrame, models: Sequence[Weights], stride: int = 64, n_offsets: int | None = None
 ) -> DataFrame:
     """(slide_id, patch_idx, n, alpha): softmax maps averaged over branches, offsets and models, sum 1;
-    ``n`` is the number of patches of the slide."""
+    ``n`` is the number of patches of the slide. Vectors are scored once; the narrow scores are written and read again."""
     shift = max(m.bound for m in models)
-    scored = score_arrays(patches, models, stride, n_offsets)
+    scored = materialise(score_arrays(patches, models, stride, n_offsets), "scores")
     scored = scored.select("slide_id", "patch_idx", F.transform("scores", lambda s: F.exp(s - F.lit(shift))).alias("e"))
     mass = scored.groupBy("slide_id").agg(
         Summarizer.sum(array_to_vector("e"), F.lit(1.0)).alias("mass"), F.count(F.lit(1)).alias("n")
@@ -278,9 +283,11 @@ def score_slides(
 
 
 def subspace_maps(patches: DataFrame, weights: Weights, stride: int = 64) -> DataFrame:
-    """(slide_id, patch_idx, k, alpha): one map per offset, softmax averaged over branches."""
+    """(slide_id, patch_idx, k, alpha): one map per offset, softmax averaged over branches.
+
+    Vectors are scored once; all that is derived from the maps reads the written scores."""
     shift = weights.bound
-    scored = score_arrays(patches, [weights], stride)
+    scored = materialise(score_arrays(patches, [weights], stride), "scores")
     scored = scored.select("slide_id", "patch_idx", F.transform("scores", lambda s: F.exp(s - F.lit(shift))).alias("e"))
     mass = scored.groupBy("slide_id").agg(
         Summarizer.sum(array_to_vector("e"), F.lit(1.0)).alias("mass"), F.count(F.lit(1)).alias("n")
