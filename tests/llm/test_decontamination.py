@@ -9,16 +9,17 @@ from tests.llm.helpers import frame, lower, words
 
 
 def plain(rows, items):
-    """Brute force over every window: {(doc, item): similarity}."""
-    out = {}
+    """Brute force over every window of every text that shares a shingle: {(doc, item): similarity}."""
+    out, texts = {}, [(doc, words(lower(text))) for doc, text in rows]
+    runs = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    held = {k: [set(runs(w, k)) for _, w in texts] for k in range(1, 6)}
     for item, itext in items:
         goal = words(lower(itext))
         k = min(5, len(goal))
-        runs = lambda w, k=k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
-        for doc, text in rows:
-            w = words(lower(text))
-            for a in range(max(1, len(w) - len(goal) + 1)) if goal else ():
-                x, y = runs(w[a : a + len(goal)]), runs(goal)
+        y = Counter(runs(goal, k)) if goal else {}
+        for (doc, w), own in zip(texts, held[k] if goal else ()):
+            for a in range(max(1, len(w) - len(goal) + 1)) if own & set(y) else ():
+                x = Counter(runs(w[a : a + len(goal)], k))
                 value = sum((x & y).values()) / max(sum((x | y).values()), 1)
                 if value >= 0.75 and value > out.get((doc, item), 0):
                     out[doc, item] = value
