@@ -14,8 +14,8 @@ pairs already joined. So a group of near copies costs about one comparison per c
 
 Whole sets only go to stars and to pairs that pass the bound; tiles get the bitmaps. A first round only takes the
 tiles of every sixteenth shingle: similar sets mostly share many, so this joins most of what belongs together. The
-next takes all tiles that are left. A block offers at first a few pairs per set; if it had more, the round is
-repeated on the contracted components with more.
+next takes all tiles that are left. A block offers at first a few pairs per set; if it had more, the
+round is repeated for its tile on the contracted components with more.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ BLOCK = 2000
 CLASS = "chunk int, doc_id long, n_shingles long, f1 long, f2 long"
 SIGNED = "node long, n long, tokens array<long>, map binary, members binary"
 EDGES = "a long, b long"
-PAIRS = "a long, b long, more boolean"
+PAIRS = "a long, b long, more boolean, token long"
 OFFERS = 8
 BITS_PER_SHINGLE = 16
 FIRST_SHARE = 16
@@ -184,7 +184,8 @@ def block_offers(most: int):
         block = table.column("block").to_numpy()
         side = np.full(len(block), 2) if left == right else (block == right).astype(np.int64)
         found = offers(table.column("node").to_numpy(), table.column("label").to_numpy(), table.column("n").to_numpy(), table.column("map").to_pylist(), side, most)
-        return edges_table(list(found), ("a", "b", "more"))
+        token = table.column("token")[0].as_py()
+        return edges_table([(*f, token) for f in found], ("a", "b", "more", "token"))
 
     return kernel
 
@@ -261,17 +262,24 @@ def tile_offers(tokens: DataFrame, sets: DataFrame, labels: DataFrame, most: int
 
 
 def tile_edges(tokens: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` and those found within tiles, round by round until no block held a pair back."""
-    most, share = OFFERS, FIRST_SHARE
+    """``links`` and those found within tiles, round by round until no block held a pair back.
+
+    A tile of which nothing was held back is settled: all its pairs that could be links were decided.
+    """
+    most, share, left = OFFERS, FIRST_SHARE, tokens
     while True:
-        some = tokens.where(F.pmod("token", F.lit(share)) == 0)
+        some = left.where(F.pmod("token", F.lit(share)) == 0)
         offered = materialise(tile_offers(some, sets, components(links), most), "offers")
         other = sets.select(F.col("node").alias("b"), F.col("members").alias("other"))
         pairs = offered.select("a", "b").distinct().join(sets.select(F.col("node").alias("a"), "members"), "a").join(other, "b")
         links = materialise(links.unionByName(pairs.select("a", "b", "members", "other").mapInArrow(true_pairs, EDGES)), "links")
-        if share == 1 and offered.where("more").isEmpty():
+        if share > 1:
+            share = 1
+            continue
+        held = offered.where("more").select("token").distinct()
+        if held.isEmpty():
             return links
-        most, share = most if share > 1 else most * 16, 1
+        most, left = most * 16, left.join(held, "token", "left_semi")
 
 
 def components_of(chunks) -> DataFrame:
