@@ -61,18 +61,20 @@ def mix(
 ) -> DataFrame:
     """The training order: one row per pass over a document, sorted by ``position`` in [0, 1].
 
-    Columns: doc_id, source, size (words; 0 for null text), source_size, target, pass_no, position, words (taken in
+    Columns: doc_id, source, row_id (number of the row within its source: rows that repeat a doc_id, or have none, stay
+    apart), size (words; 0 for null text), source_size, target, pass_no, position, words (taken in
     this pass; the last pass of a source stops in the middle of a document when its target is met, so a source's
     words add up to its rounded target), carried columns. A document of which nothing is taken has one row with
     pass_no 0, no position and no words.
 
     Sources in order of their code points, null last, weigh ``weights`` in turn. Within a source documents
-    follow a hash of doc_id, rows of equal doc_id their size, so reruns agree. Source weights start
+    follow a hash of doc_id, rows of equal doc_id their size and text, so reruns agree. Source weights start
     at weight and move towards the mean of all weights over training.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("_h"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("_h"),
+        F.xxhash64(F.col(text)).alias("_t"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
     ).withColumn("_piece", F.substring("_h", 1, 3)).withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     pieces = materialise(rows.groupBy("_key", "source", "_piece").agg(F.sum("size").alias("_sum")), "pieces")
     sizes = pieces.groupBy("source").agg(F.sum("_sum").alias("source_size"))
@@ -83,8 +85,9 @@ def mix(
     starts = pieces.withColumn("_before", F.coalesce(F.sum("_sum").over(along), F.lit(0))).select("_key", "_piece", "_before")
     own = goals.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).drop("source")
     goals = materialise(starts.join(own, "_key").select("_key", "_piece", "_before", "source_size", "weight", "target"), "goals")
-    within = W.partitionBy("_key", "_piece").orderBy("_h", "size").rowsBetween(W.unboundedPreceding, -1)
-    summed = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    within = W.partitionBy("_key", "_piece").orderBy("_h", "size", "_t")
+    nth = F.conv("_piece", 16, 10).cast("long") * (1 << 40) + F.row_number().over(within)
+    summed = rows.withColumn("_in", F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("row_id", nth)
     found = summed.join(goals, ["_key", "_piece"])
     start = F.col("_before") + F.col("_in")
     asked = F.floor(F.col("target") + 0.5).cast("long")
@@ -96,7 +99,21 @@ def mix(
     share = F.least(F.lit(1.0), stream / F.col("_asked"))
     position = training_time(share, F.col("weight"), F.lit(float(middle)))
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", "pass_no",
+        "doc_id", "source", "row_id", "size", "source_size", "target", "pass_no",
         F.when(F.col("pass_no") > 0, position).alias("position"), F.when(F.col("pass_no") > 0, taken).otherwise(F.lit(0)).cast("long").alias("words"),
         *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)],
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id", "pass_no")
+
+
+def training_passes(docs: DataFrame, **given) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, row_id, size, source_size, target, taken, passes.
+
+    ``passes`` has (position, pass_no, words) of each pass over the row, in training order; ``taken`` adds up their
+    words. Arguments are those of ``mix``, whose sorted order is written out and reduced here.
+    """
+    order = materialise(mix(docs, **given), "order")
+    own = ("source", "row_id", "doc_id", "size", "source_size", "target")
+    placed = F.when(F.col("position").isNotNull(), F.struct("position", "pass_no", "words"))
+    rows = order.groupBy(*own).agg(F.sort_array(F.collect_list(placed)).alias("passes"))
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda total, p: total + p["words"])
+    return rows.select("doc_id", "source", "row_id", "size", "source_size", "target", taken.alias("taken"), "passes")

@@ -12,7 +12,7 @@ from bagspark.llm.decontamination import contaminated
 from bagspark.llm.jaccard_join import jaccard_components
 from bagspark.llm.language_id import predict, train
 from bagspark.llm.lm_scoring import lm_scores
-from bagspark.llm.mixing import mix
+from bagspark.llm.mixing import training_passes
 from bagspark.llm.quality_classifier import held_out, quality_scores
 from bagspark.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from bagspark.llm.substring_dedup import substring_dedup
@@ -139,8 +139,7 @@ SELECT doc_id, size, source_size, target,
        CAST(coalesce(list_sum([greatest(0, least(size, floor(target + 0.5) - start - source_size * k)) FOR k IN [0, 1, 2]]), 0) AS BIGINT) AS taken
 FROM p JOIN t ON source IS NOT DISTINCT FROM s""")
 def op8(spark, sf_dir):
-    plan = mix(table(spark, sf_dir, "documents"))
-    return plan.groupBy("doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+    return training_passes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op5_quality_classifier")

@@ -1,6 +1,8 @@
 import pytest
 
-from bagspark.llm.mixing import mix
+from bagspark.llm import mixing, queries
+from bagspark.llm.mixing import mix, training_passes
+from bagspark.session import materialise as mixing_materialise
 from tests.llm.helpers import corpus, frame, words
 
 
@@ -61,3 +63,28 @@ def test_reruns_agree_on_other_partitions(spark):
 
 def test_empty_table(spark):
     assert mix(frame(spark, [])).collect() == []
+
+
+def test_every_row_has_its_own_passes(spark):
+    """Rows that repeat a doc_id, and rows without one, are not merged."""
+    rows = [(k, "a b c d", None, "ab"[k % 2]) for k in range(40)] + [(7, "tie here", None, "b")] * 3 + [(None, text, None, "a") for text in ("x y", "p q", "x y", None)]
+    out = training_passes(frame(spark, rows), weights=(1, 9)).collect()
+    assert sorted(((r.doc_id, r.size, r.source) for r in out), key=str) == sorted(((i, len(words(t)), s) for i, t, _, s in rows), key=str)
+    assert len({(r.source, r.row_id) for r in out}) == len(rows)
+    assert all(r.taken == sum(p.words for p in r.passes) <= 3 * r.size for r in out)
+    want = {(r.source, r.row_id, r.pass_no, r.position, r.words) for r in mix(frame(spark, rows), weights=(1, 9)).collect() if r.pass_no}
+    assert {(r.source, r.row_id, p.pass_no, p.position, p.words) for r in out for p in r.passes} == want
+    assert all([p.position for p in r.passes] == sorted(p.position for p in r.passes) for r in out) and max(len(r.passes) for r in out) > 1
+
+
+def test_query_runs_the_training_order(spark, monkeypatch, folder):
+    """op8 reads its result back from sorted positions, one row per row of the table."""
+    written = {}
+    monkeypatch.setattr(mixing, "materialise", lambda df, name: written.setdefault(name, mixing_materialise(df, name)))
+    rows = [(k, "a b c d", None, "ab"[k % 2]) for k in range(200)] + [(7, "tie here", None, "b")] * 3 + [(None, "x y", None, "a")] * 4
+    frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    out = queries.op8(spark, folder).collect()
+    assert len(out) == len(rows) and all(r.taken <= 3 * r.size for r in out)
+    positions = [r.position for r in written["order"].where("pass_no > 0").orderBy("position").collect()]
+    assert len(positions) >= len(rows) // 2 and all(0 <= p <= 1 for p in positions)
+    assert sum(r.taken for r in out) == written["order"].groupBy().sum("words").first()[0]
