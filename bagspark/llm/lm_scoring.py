@@ -1,18 +1,22 @@
-"""Language-model scoring by a weighted backoff automaton over word bigrams.
+"""Language-model scoring by a weighted backoff automaton over word trigrams or bigrams.
 
-States are the words seen in training, the start, and one empty state. A bigram that occurs at least twice in
-training is an arc from its first word, with its smoothed probability. Every word state has a failure arc to the
-empty state that carries the mass left over; the empty state has an arc for every token, also for unknown ones. Texts are
-read once from left to right: the state follows the tokens and the log-probabilities add up.
+States are the bigrams and the words seen in training, the start, and one empty state. A bigram that occurs ``least`` times
+in training is an arc from its first word, a trigram from its first two, with its smoothed probability. Every state has a
+failure arc to the state of its last word, a word state to the empty one, that carries the mass left over; the empty state
+has an arc for every token, also for unknown ones. Texts are read once from left to right: the state follows the tokens and
+the log-probabilities add up.
 
-    P(w | v) = (c(v w) - D) / c(v) + b(v) P(w)      if v w is an arc
-    P(w | v) = b(v) P(w)                            else, over the failure arc
-    P(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    b(v)     = 1 - sum over arcs of v of (c - D) / c(v)
+    P(w | u v) = (c(u v w) - D) / c(u v) + b(u v) P(w | v)   if u v w is an arc
+    P(w | u v) = b(u v) P(w | v)                             else, over the failure arc
+    P(w | v)   = (c(v w) - D) / c(v) + b(v) P(w)             if v w is an arc
+    P(w | v)   = b(v) P(w)                                   else, over the failure arc
+    P(w)       = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    b(h)       = 1 - sum over arcs of h of (c - D) / c(h)
 
 All counts are exact and over all training texts. No table of words is sent to all tasks: every chunk of texts asks
-for the numbers of its own words and bigrams (``ledger``) and builds the part of the automaton that its texts
-can reach. A sketch first rules out most bigrams that occur once, so they are never sent.
+for the numbers of its own words, bigrams and trigrams (``ledger``) and builds the part of the automaton that its texts
+can reach. A sketch tells which of them may occur in other chunks: its estimates are never too low, so a key that is
+estimated as often as the chunk has it is in this chunk only. Its count is known there and never sent.
 """
 
 from __future__ import annotations
@@ -32,7 +36,6 @@ from bagspark.session import materialise
 
 DISCOUNT = 0.75
 ADDED = 0.1
-LEAST = 2
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 FINER = 2
@@ -68,86 +71,128 @@ class Automaton:
     empty_arc: np.ndarray
     failure: np.ndarray
     arc: np.ndarray
+    pair_failure: np.ndarray
+    pair_arc: np.ndarray
 
-    def walk(self, word: np.ndarray, bigram: np.ndarray, state: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def walk(self, word: np.ndarray, pair: np.ndarray, bigram: np.ndarray, trigram: np.ndarray, state: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of every text, all texts in step from left to right.
 
-        ``word`` and ``bigram`` are the places of each token among words and arcs (-1: no arc); ``state`` is the place
-        of the state in which a text starts.
+        ``word`` and ``pair`` are the places of each token and of the bigram that it ends, ``bigram`` and ``trigram`` those of
+        arcs (-1: no arc); ``state`` is the place of the state in which a text starts.
         """
         length = np.diff(first)
         order = np.argsort(-length, kind="stable")
         total = np.zeros(len(length))
-        kept = np.append(self.arc, 0.0)
-        now = state[order]
+        kept, pair_kept, pair_failure = np.append(self.arc, 0.0), np.append(self.pair_arc, 0.0), np.append(self.pair_failure, 0.0)
+        now, last = state[order], np.full(len(length), -1)
         active = np.searchsorted(-length[order], -np.arange(length.max() if len(length) else 0), side="left")
         for t, n in enumerate(active):
             at = first[order[:n]] + t
-            w, arc = word[at], bigram[at]
-            total[:n] += np.where(arc >= 0, kept[arc], self.failure[now[:n]] + self.empty_arc[w])
-            now[:n] = w
+            w, arc, longer = word[at], bigram[at], trigram[at]
+            lower = np.where(arc >= 0, kept[arc], self.failure[now[:n]] + self.empty_arc[w])
+            total[:n] += np.where(longer >= 0, pair_kept[longer], pair_failure[last[:n]] + lower)
+            now[:n], last[:n] = w, pair[at]
         out = np.empty(len(length))
         out[order] = total
         return out
 
 
-def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", order: int = 2, least: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``learn`` is true (null: not). Tokens are the words with A-Z lower-cased, then one end;
-    null and empty texts are just the end. ``base_score`` adds log10 P(token), ``score`` is the automaton's. Rows that
+    null and empty texts are just the end. ``base_score`` adds log10 P(token), ``score`` is the automaton's, of ``order`` 2 or
+    3, whose arcs occur ``least`` times or more in training (1: nothing is dropped). Rows that
     repeat count each time. Without training rows every token has the same unigram probability of one. Other
     columns are ignored.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     flagged = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learns"))
     chunks = deal(flagged, carry=("learns",))
-    bits = sketch.sketch_bits(chunks.bytes // 5) + FINER
+    bits = sketch.sketch_bits(chunks.bytes // 5) + FINER + order - 2
     shift = ledger.shift_for(chunks.bytes // 16)
 
     def look(table):
+        """Tokens, the places of those that end a trigram, and the hashes of bigrams and trigrams."""
         token, before, first, learns = tokens(table)
-        return token, before, first, learns, bigrams(before, token)
+        keys = [bigrams(before, token)]
+        later = np.ones(len(token), bool)
+        later[first[:-1]] = False
+        inner = np.flatnonzero(later) if order > 2 else np.zeros(0, np.int64)
+        return token, first, learns, inner, [*keys, bigrams(keys[0][inner - 1], token[inner])]
 
-    estimated = materialise(sketch.counted(chunks, lambda table: [look(table)[4]], bits), "sketch")
+    estimated = materialise(sketch.counted(chunks, lambda table: [np.concatenate(look(table)[4])], bits), "sketch")
 
-    def pairs_of(key, learns, answers):
-        """(rising bigrams that may repeat, each token's place among them or -1, training counts)."""
-        likely = sketch.estimates([key], answers, bits) >= LEAST
-        own, at = np.unique(key[likely], return_inverse=True)
-        place = np.full(len(key), -1)
-        place[likely] = at
-        return own, place, np.bincount(at, learns[likely], minlength=len(own)).astype(np.int64)
+    def kind(answers, k):
+        return answers.filter(pc.equal(answers.column("kind"), k))
+
+    def grams(table, answers):
+        """Tokens, and for bigrams and trigrams: rising keys, each one's place, training counts here, whether others may have the key."""
+        token, first, learns, inner, keys = look(table)
+        seen = [np.unique(k, return_inverse=True, return_counts=True) for k in keys]
+        estimate = sketch.estimates([np.concatenate([own for own, _, _ in seen])], kind(answers, 0), bits)
+        found = [
+            (own, at, np.bincount(at, use, minlength=len(own)).astype(np.int64), (e > times) | (e == sketch.TOP))
+            for (own, at, times), e, use in zip(seen, np.split(estimate, [len(seen[0][0])]), (learns, learns[inner]))
+        ]
+        return token, first, learns, inner, found
+
+    def totals(own, spread, columns, answers):
+        """Totals over all chunks by column and key, and whether the chunk owns the key."""
+        out, owned = np.stack(columns), np.ones(len(own), bool)
+        out[:, out[0] < least] = 0
+        out[:, spread], owned[spread] = ledger.read(own[spread], answers, len(columns), shift)
+        return out, owned
+
+    def longer(inner, found, answers):
+        """Totals of trigrams, the places of their first and last two words, and the columns that bigrams send."""
+        (pairs, pair_at, here, _), (own, at, own_here, spread) = found
+        (count,), owned = totals(own, spread, [own_here], kind(answers, 1))
+        origin, target = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        origin[at], target[at] = pair_at[inner - 1], pair_at[inner]
+        mine = owned & (count > 0)
+        arcs = np.bincount(origin[mine], minlength=len(pairs)).astype(np.int64)
+        mass = np.bincount(origin[mine], count[mine], minlength=len(pairs)).astype(np.int64)
+        return count, origin, target, [here, arcs, mass]
+
+    def send_trigrams(chunk, table, answers):
+        own, _, here, spread = grams(table, answers)[4][1]
+        yield ledger.send(chunk, own[spread], [here[spread]], shift)
 
     def send_pairs(chunk, table, answers):
-        _, _, _, learns, key = look(table)
-        own, _, n = pairs_of(key, learns, answers)
-        yield ledger.send(chunk, own, [n], shift)
+        _, _, _, inner, found = grams(table, answers)
+        own, _, _, spread = found[0]
+        yield ledger.send(chunk, own[spread], [c[spread] for c in longer(inner, found, answers)[3]], shift)
 
-    pairs = materialise(merge(chunks.answered(estimated, send_pairs, SENT), ledger.total_up(1, LEAST), ledger.TOTALS), "bigrams")
-    told = estimated.withColumn("kind", F.lit(0)).unionByName(pairs.where("chunk >= 0").select("chunk", "shard", "answer", F.lit(1).alias("kind")))
+    def answered(send, columns, lowest, name):
+        return materialise(merge(chunks.answered(told, send, SENT), ledger.total_up(columns, lowest), ledger.TOTALS), name)
 
-    def kind(answers, k):
-        return answers.filter(pc.equal(answers.column("kind"), k))
+    def told_by(df, k):
+        return df.where("chunk >= 0").select("chunk", "shard", "answer", F.lit(k).alias("kind"))
+
+    told = estimated.withColumn("kind", F.lit(0))
+    if order > 2:
+        told = told.unionByName(told_by(answered(send_trigrams, 1, least, "trigrams"), 1))
+    told = told.unionByName(told_by(answered(send_pairs, 3, least, "bigrams"), 2))
 
     def contexts(table, answers):
-        """Words and their places, bigrams with totals, and per word its training count and sums over the arcs owned here."""
-        token, before, first, learns, key = look(table)
-        own, place, _ = pairs_of(key, learns, kind(answers, 0))
-        (count,), owned = ledger.read(own, kind(answers, 1), 1, shift)
+        """Words and their places, trigrams and bigrams with totals, and where bigrams start and end."""
+        token, first, learns, inner, found = grams(table, answers)
+        three = longer(inner, found, answers)
+        own, place, _, spread = found[0]
+        two, owned = totals(own, spread, three[3], kind(answers, 2))
         word, at = np.unique(np.append(token, START), return_inverse=True)
         at_start, at = int(at[-1]), at[:-1]
         from_place = np.empty(len(token), np.int64)
         from_place[1:] = at[:-1]
         from_place[first[:-1]] = at_start
-        some = np.flatnonzero(place >= 0)
-        origin = np.zeros(len(own), np.int64)
-        origin[place[some]] = from_place[some]
-        target = np.zeros(len(own), np.int64)
-        target[place[some]] = at[some]
-        return word, at, from_place, at_start, first, learns, place, count, owned, origin, target
+        origin, target = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        origin[place], target[place] = from_place, at
+        return word, at, from_place, at_start, first, learns, inner, found, three, two, owned, origin, target
 
     def send_words(chunk, table, answers):
-        word, at, from_place, _, _, learns, _, count, owned, origin, _ = contexts(table, answers)
+        word, at, from_place, _, _, learns, _, _, _, (count, _, _), owned, origin, _ = contexts(table, answers)
         n = np.bincount(at, learns, minlength=len(word)).astype(np.int64)
         left = np.bincount(from_place, learns, minlength=len(word)).astype(np.int64)
         mine = owned & (count > 0)
@@ -155,23 +200,30 @@ def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str
         mass = np.bincount(origin[mine], count[mine], minlength=len(word)).astype(np.int64)
         yield ledger.send(chunk, word, [n, left, arcs, mass], shift)
 
-    words = materialise(merge(chunks.answered(told, send_words, SENT), ledger.total_up(4, 0), ledger.TOTALS), "words")
+    words = answered(send_words, 4, 0, "words")
     sizes = words.where("chunk = -1").agg(F.sum("n_keys"), F.sum("total")).first()
     distinct, trained = sizes[0] or 0, sizes[1] or 0
-    told = told.unionByName(words.where("chunk >= 0").select("chunk", "shard", "answer", F.lit(2).alias("kind")))
+    told = told.unionByName(told_by(words, 3))
 
     def score(chunk, table, answers):
-        word, at, _, at_start, first, _, place, count, _, origin, target = contexts(table, answers)
-        (n, left, arcs, mass), _ = ledger.read(word, kind(answers, 2), 4, shift)
+        word, at, _, at_start, first, _, inner, found, three, two, _, origin, target = contexts(table, answers)
+        (n, left, arcs, mass), _ = ledger.read(word, kind(answers, 3), 4, shift)
         p = (n + ADDED) / (trained + ADDED * (distinct + 1))
         left = np.maximum(left, 1)
         over = 1 - (mass - DISCOUNT * arcs) / left
-        kept = np.where(count > 0, (count - DISCOUNT) / left[origin] + over[origin] * p[target], 1.0)
-        automaton = Automaton(np.log10(p), np.log10(over), np.log10(kept))
-        bigram = np.where((place >= 0) & (np.append(count, 0)[place] > 0), place, -1)
+        count, pair_arcs, pair_mass = two
+        p_pair = over[origin] * p[target] + np.where(count > 0, (count - DISCOUNT) / left[origin], 0.0)
+        pair_left = np.maximum(count, 1)
+        pair_over = 1 - (pair_mass - DISCOUNT * pair_arcs) / pair_left
+        often, pair_origin, pair_target, _ = three
+        p_three = pair_over[pair_origin] * p_pair[pair_target] + np.where(often > 0, (often - DISCOUNT) / pair_left[pair_origin], 0.0)
+        automaton = Automaton(np.log10(p), np.log10(over), np.log10(p_pair), np.log10(pair_over), np.log10(p_three))
+        pair, place = found[0][1], found[1][1]
+        trigram = np.full(len(at), -1)
+        trigram[inner] = np.where(often[place] > 0, place, -1)
         yield {"doc_id": table.column("doc_id"), "n_tokens": np.diff(first), "n_known": np.add.reduceat((n[at] > 0).astype(np.int64), first[:-1]),
                "base_score": np.add.reduceat(automaton.empty_arc[at], first[:-1]),
-               "score": automaton.walk(at, bigram, np.full(len(first) - 1, at_start), first)}
+               "score": automaton.walk(at, pair, np.where(count[pair] > 0, pair, -1), trigram, np.full(len(first) - 1, at_start), first)}
 
     scored = chunks.answered(told, score, OUT)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), "base_score", "score")

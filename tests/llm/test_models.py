@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from bagspark.llm import chunks, quality_classifier
+from bagspark.llm import chunks, quality_classifier, queries
 from bagspark.llm.language_id import UNKNOWN, predict, train
 from bagspark.llm.lm_scoring import lm_scores
 from bagspark.llm.quality_classifier import accepted, isotonic, quality_scores, statistics
@@ -129,3 +129,39 @@ def test_language_model_equals_brute_force(spark, monkeypatch, size, least):
 
 def test_language_model_of_nothing(spark):
     assert lm_scores(frame(spark, []), F.lit(True)).collect() == []
+
+
+def plain_trigrams(rows, learns):
+    """Scores by all bigrams and trigrams of the training rows, also those seen once."""
+    texts = [["<s>", *words(lower(t)), None] for _, t in rows]
+    counts = [Counter(tuple(t[k : k + n]) for t, use in zip(texts, learns) if use for k in range(len(t) - n + 1) if n > 1 or k) for n in (1, 2, 3)]
+    left, arcs = Counter(), Counter()
+    for grams in counts[1:]:
+        for g, c in grams.items():
+            left[g[:-1]] += c
+            arcs[g[:-1]] += 1
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[0][gram] + 0.1) / (sum(counts[0].values()) + 0.1 * (len(counts[0]) + 1))
+        head, lower_order = gram[:-1], p(gram[1:])
+        if not left[head]:
+            return lower_order
+        return max(counts[len(gram) - 1][gram] - 0.75, 0) / left[head] + 0.75 * arcs[head] / left[head] * lower_order
+
+    return [(i, sum(math.log10(p(tuple(t[max(0, k - 2) : k + 1]))) for k in range(1, len(t)))) for (i, _), t in zip(rows, texts)]
+
+
+@pytest.mark.parametrize("size", [1 << 20, 3000])
+def test_query_model_keeps_rare_bigrams_and_trigrams(spark, monkeypatch, folder, size):
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", size)
+    rows = corpus(11, vocabulary=3)
+    rows += [rows[0], (None, rows[1][1]), (-2, None)]
+    frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    out = queries.op6(spark, folder).collect()
+    held = {r.doc_id: r.held_out for r in out}
+    assert {False, True} <= set(held.values())
+    want = sorted(plain_trigrams(rows, [held[i] is False for i, _ in rows]), key=str)
+    got = sorted(((r.doc_id, r.score) for r in out), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9, abs=1e-9)
