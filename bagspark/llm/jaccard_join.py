@@ -37,6 +37,8 @@ from bagspark.session import materialise
 SHINGLE = 5
 PART, WHOLE = 75, 100
 BLOCK = 2000
+LINK_BLOCK = 500
+EVERY = 1 << 40
 CLASS = "chunk int, doc_id long, n_shingles long, f1 long, f2 long"
 SIGNED = "node long, n long, tokens array<long>, map binary, members binary"
 EDGES = "a long, b long"
@@ -245,14 +247,14 @@ def star_edges(tokens: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("hub", "way").applyInArrow(star_links, EDGES)
 
 
-def tile_offers(tokens: DataFrame, sets: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def tile_offers(tokens: DataFrame, sets: DataFrame, labels: DataFrame, most: int, block: int | None = None) -> DataFrame:
     """(a, b, more): pairs of components that still meet in a tile. Tiles with the same members are compared once."""
     named = tokens.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
     tiles = named.groupBy("token").agg(
         F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
         F.bit_xor(F.xxhash64("node")).alias("k1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("k2"),
     ).where("low <> high")
-    once = tiles.groupBy("size", "k1", "k2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    once = tiles.groupBy("size", "k1", "k2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / (block or BLOCK)).cast("int").alias("blocks"))
     members = named.join(once, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", "node", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
@@ -282,8 +284,18 @@ def tile_edges(tokens: DataFrame, sets: DataFrame, links: DataFrame) -> DataFram
         most, left = most * 16, left.join(held, "token", "left_semi")
 
 
-def components_of(chunks) -> DataFrame:
-    """(chunk, doc_id, n_shingles, component_id) for every row of the chunks."""
+def all_links(tokens: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every similar pair (a, b), a < b: all tiles are compared within, nothing is contracted or held back."""
+    own = sets.select("node", F.col("node").alias("component")).distinct()
+    met = tile_offers(tokens, sets, own, EVERY, LINK_BLOCK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    offered = materialise(met.distinct(), "offers")
+    other = sets.select(F.col("node").alias("b"), F.col("members").alias("other"))
+    pairs = offered.join(sets.select(F.col("node").alias("a"), "members"), "a").join(other, "b")
+    return materialise(pairs.select("a", "b", "members", "other").mapInArrow(true_pairs, EDGES).distinct(), "links")
+
+
+def prepared(chunks) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows with sizes and fingerprints, classes of equal sets, sets that may link, their shared rare shingles)."""
     bits = sketch.sketch_bits(chunks.bytes // 5)
 
     def describe(chunk, table):
@@ -298,23 +310,48 @@ def components_of(chunks) -> DataFrame:
     classes = materialise(classes, "classes")
     sets = signed(chunks, classes.select("chunk", F.col("node").alias("doc_id")).distinct(), bits)
     tokens = materialise(sets.select(F.explode("tokens").alias("token"), "node").distinct(), "tokens")
-    links = tile_edges(tokens, sets, materialise(star_edges(tokens, sets), "links"))
+    return rows, classes, sets, tokens
+
+
+def components_of(chunks, with_links: bool = False) -> DataFrame:
+    """(chunk, doc_id, n_shingles, component_id) for every row of the chunks, and n_links if asked for."""
+    rows, classes, sets, tokens = prepared(chunks)
+    keys = ["n_shingles", "f1", "f2"]
+    links = all_links(tokens, sets) if with_links else tile_edges(tokens, sets, materialise(star_edges(tokens, sets), "links"))
     placed = materialise(rows.join(classes.drop("chunk"), keys, "left").select("chunk", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "placed")
     several = placed.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("high")
     same_id = placed.where("node is not null").join(several, "doc_id").select(F.col("node").alias("a"), F.col("low").alias("b"))
     of = components(links.unionByName(same_id))
-    return placed.join(of, "node", "left").select("chunk", "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    out = placed.join(of, "node", "left").select("chunk", "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"), "node")
+    if not with_links:
+        return out.drop("node")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    return out.join(ends, "node", "left").drop("node").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All links (a, b), a < b, between documents with similar but unequal sets; none is left out.
+
+    Documents with equal sets are one class; its links are given once, for the smallest doc_id of the class. Rules are
+    those of ``jaccard_components``. N near copies have up to N (N - 1) / 2 links, so the result can grow with the square of
+    a group; use the components where groups are all that is needed.
+    """
+    _, _, sets, tokens = prepared(deal(docs, doc_id, text))
+    return all_links(tokens, sets)
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_links: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
+    ``with_links`` adds n_links, the number of links that the row's class has in ``jaccard_links``, at the cost of
+    verifying them all.
+
     A-Z are lower-cased; a set holds the distinct runs of five words, or all words as one run if they are fewer. Null
     text and text without words have an empty set and link with nothing: their component is their own doc_id. Rows
     that share a doc_id count as one document. Rows with a null doc_id have a null component and link with nothing.
     Other columns are ignored. An empty table gives an empty result.
     """
-    return components_of(deal(docs, doc_id, text)).drop("chunk")
+    return components_of(deal(docs, doc_id, text), with_links).drop("chunk")
 
 
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

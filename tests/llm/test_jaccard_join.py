@@ -5,7 +5,7 @@ import pytest
 from bagspark.llm import chunks, jaccard_join
 from bagspark.llm import components as components_module
 from bagspark.llm.components import components
-from bagspark.llm.jaccard_join import jaccard_components, one_per_component
+from bagspark.llm.jaccard_join import jaccard_components, jaccard_links, one_per_component
 from tests.llm.helpers import corpus, frame, lower, words
 
 
@@ -81,3 +81,28 @@ def test_components_of_a_path_a_star_and_loops(spark, monkeypatch, local):
 
 def test_empty_table(spark):
     assert jaccard_components(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("block", [500, 3])
+def test_links_are_all_similar_pairs(spark, monkeypatch, block):
+    """Also those within one component, which the components need not compare."""
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", block)
+    base = [f"n{k}" for k in range(120)]
+    near = [(5000 + i, " ".join(base[:i] + ["changed"] + base[i + 1 :])) for i in range(0, 120, 6)]
+    rows = list({i: t for i, t in [*corpus(4, 80), *near, (7000, near[0][1]), (7001, near[0][1].upper())]}.items())
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(frozenset(shingles(t)), i)
+    sets = sorted((i, s) for s, i in first.items() if s)
+    want = {(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[k + 1 :] if 100 * len(a & b) >= 75 * len(a | b)}
+    docs = frame(spark, [*rows, (None, near[0][1])])
+    out = [(r.a, r.b) for r in jaccard_links(docs).collect()]
+    assert sorted(out) == sorted(want) and sum(5000 <= i <= j < 7000 for i, j in out) == 190
+    counted = jaccard_components(docs, with_links=True)
+    assert got(counted) == plain([*rows, (None, near[0][1])])
+    links = {i: sum(first[frozenset(shingles(t))] in pair for pair in want) if shingles(t) else 0 for i, t in rows} | {None: 0}
+    assert {r.doc_id: r.n_links for r in counted.collect()} == links
+
+
+def test_no_links(spark):
+    assert jaccard_links(frame(spark, [])).collect() == []
