@@ -34,7 +34,7 @@ def stream_ingest(spark, sf):
     src, store = scratch_path(spark, "arrivals"), scratch_path(spark, "store")
     rows.where("pooling = 'cls'").write.mode("append").parquet(src)
     I.stream_ingest(spark, src, store, scratch_path(spark, "ckpt")).awaitTermination()
-    rows.unionByName(rows.withColumn("pooling", F.lit("cls_mean"))).coalesce(1).write.mode("append").parquet(src)
+    rows.unionByName(rows.withColumn("pooling", F.lit("cls_mean"))).write.mode("append").parquet(src)
     I.stream_ingest(spark, src, store, scratch_path(spark, "ckpt")).awaitTermination()
     kept = [
         spark.read.parquet(f"{store}/{part}").select("slide_id", "patch_idx", "pooling", F.lit(part).alias("outcome"))

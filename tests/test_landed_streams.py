@@ -181,3 +181,14 @@ def test_heartbeats_are_read_and_broken_ones_counted(spark, folder):
     beats, unreadable = L.read_heartbeats(spark, f"{folder}/beats")
     assert sorted((r["shard"], r["done"], r["file_name"]) for r in beats.collect()) == [(1, 5, "shard1.json"), (2, 10, "shard2.json")]
     assert unreadable.first()[0] == 1
+
+
+def test_query_lands_both_poolings_in_parallel(spark, monkeypatch):
+    """The second arrival is not pulled through one task; the result stays that of one batch with both poolings."""
+    from bagspark.queries import streams
+
+    landed, ingest = [], streams.I.stream_ingest
+    monkeypatch.setattr(streams.I, "stream_ingest", lambda spark, src, *a: landed.append(set(os.listdir(src))) or ingest(spark, src, *a))
+    out = streams.stream_ingest(spark, "/root/testdata/sf0.001").groupBy("pooling", "outcome").count().collect()
+    assert len([f for f in landed[1] - landed[0] if f.endswith(".parquet")]) > 1
+    assert sorted((r.pooling, r.outcome) for r in out) == [("cls", "accepted"), ("cls_mean", "diverted")]
