@@ -16,6 +16,7 @@ from bagspark.llm.lm_scoring import lm_scores
 from bagspark.llm.mixing import training_passes
 from bagspark.llm.quality_classifier import held_out, quality_scores
 from bagspark.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from bagspark.llm.spelling import spelling_variants
 from bagspark.llm.substring_dedup import substring_dedup
 from bagspark.llm.warc import read_archive, write_archive
 from bagspark.session import scratch_path
@@ -201,3 +202,32 @@ QUALIFY rank <= 10""")
 def op11(spark, sf_dir):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), anchor_every=100, positives=5, negatives=10, low=30, high=90, label=moved)
+
+
+@query("op12_spelling_variants", r"""
+WITH RECURSIVE byte(k, v, step) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT k, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM byte WHERE step < 8),
+crc AS (SELECT list(v ORDER BY k) AS t FROM byte WHERE step = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+each AS (SELECT d, run, count(*) AS times FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+coded AS (SELECT run, times, list_transform(string_split(d || ':' || run, ''), lambda c: ord(c)) AS points FROM each),
+bytes AS (SELECT run, times, flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + p // 64, 128 + p % 64] END)) AS b FROM coded),
+hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(b AS BIGINT[])),
+             lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)]))) AS h FROM bytes, crc),
+seen AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM seen WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+open_ AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM open_),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM less a JOIN less b USING (i, rest) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT less.word, rest, w.n FROM less JOIN words w ON w.word = rest
+  UNION SELECT rest, less.word, less.n FROM less JOIN words w ON w.word = rest),
+near AS (SELECT a AS word, count(DISTINCT b) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS best_n FROM pairs GROUP BY a),
+known AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+          FROM words LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS reached, 0 AS hops FROM known UNION ALL SELECT walk.word, known.form, hops + 1 FROM walk JOIN known ON known.word = walk.reached WHERE known.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(reached, hops) FROM walk WHERE walk.word = known.word) AS root, n, n_near, form_n FROM known""")
+def op12(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"), min_chars=5, min_count=3, ratio=2, drop_every=97)
