@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "splits", "ordinal", "metrics", "store", "attention", "history", "tiles", "streams", "training")
+MODULES = ("catalog", "splits", "ordinal", "metrics", "store", "attention", "crops", "history", "tiles", "streams", "training")
 
 
 def load() -> None:
