@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bagspark.functions.ordinal import sigmoid
-from bagspark.functions.vectors import l2_norm
 from bagspark.skew import attach_stats, extreme_rows, order_statistics, percentiles
 
 MAP_KEYS = ("slide_id", "k")
@@ -63,31 +62,6 @@ def attention_pool(patches: DataFrame, alpha: DataFrame) -> DataFrame:
     return bags.select("slide_id", vector_to_array("v").alias("bag"))
 
 
-def pooling_statistics(patches: DataFrame, fraction: float = 0.10) -> DataFrame:
-    """(slide_id, dim, mean, max, p90, std, top, bottom) over the patches of each slide.
-
-    ``top`` and ``bottom`` are means over the share of patches with the largest and smallest norm.
-    """
-    keys = ["slide_id", "dim"]
-    long = patches.select("slide_id", F.posexplode("features").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
-    plain = long.groupBy(*keys).agg(
-        F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_pop("v").alias("std")
-    )
-    p90 = percentiles(long, keys, "v", {"p90": 0.9}).drop("n")
-    normed = patches.select("slide_id", "patch_idx", "features", l2_norm(F.col("features")).alias("_norm"))
-
-    def size(n: Column) -> Column:
-        return F.greatest(F.floor(n * F.lit(fraction)), F.lit(1))
-
-    def part(largest: bool, name: str) -> DataFrame:
-        ids = extreme_rows(normed.drop("features"), ["slide_id"], "_norm", "patch_idx", size, largest)
-        rows = normed.join(ids.select("slide_id", "patch_idx"), ["slide_id", "patch_idx"], "left_semi")
-        long = rows.select("slide_id", F.posexplode("features").alias("dim", "v"))
-        return long.groupBy(*keys).agg(F.avg(F.col("v").cast("double")).alias(name))
-
-    return plain.join(p90, keys).join(part(True, "top"), keys).join(part(False, "bottom"), keys)
-
-
 PARTIAL_LIMIT = 1000
 """Up to this k Spark cuts a ranking window to k rows per group in every task before it shuffles."""
 

@@ -25,7 +25,7 @@ from bagspark.operators.metrics import crop_average, ensemble_predict, predictio
 from bagspark.plans.evaluate import evaluate_locked
 from bagspark.plans.scoring import EPS, Weights, _all_scores, _check_size, _matrix, _offsets, mlp_head
 from bagspark.session import materialise
-from bagspark.skew import ranged_prefix
+from bagspark.skew import turns
 
 CROPS_AT_ONCE = 4_000_000
 """So many crop starts, 24 bytes each, are shipped to the tasks at once; more are taken in turns by ranges of slides."""
@@ -61,15 +61,6 @@ class Starts:
         return (np.searchsorted(self.first[lo:hi], patch_idx, side="right") - 1, self.size[lo:hi]) if hi > lo else None
 
 
-def turns(bounds: DataFrame, at_once: int = CROPS_AT_ONCE) -> list[tuple]:
-    """(lowest, highest) slide of each turn, of about ``at_once`` crops and whole slides."""
-    if bounds.count() <= at_once:
-        return [(None, None)]
-    placed = ranged_prefix(bounds.select("slide_id", "crop"), ["slide_id", "crop"]).groupBy("slide_id").agg(F.min("before").alias("before"))
-    rows = placed.groupBy(F.expr(f"before div {at_once}").alias("turn")).agg(F.min("slide_id").alias("lo"), F.max("slide_id").alias("hi"))
-    return [(r["lo"], r["hi"]) for r in rows.orderBy("turn").collect()]
-
-
 def crop_parts(
     patches: DataFrame, models: Sequence[Weights], starts: Starts, stride: int = 64, n_offsets: int | None = None, clustered: bool = False
 ) -> DataFrame:
@@ -138,7 +129,7 @@ def crop_predictions(
     """
     bounds = materialise(crop_bounds(patches, bag_size, slides), "crop_bounds")
     parts = None
-    for lo, hi in turns(bounds):
+    for lo, hi in turns(bounds.select("slide_id", "crop"), "slide_id", ["slide_id", "crop"], CROPS_AT_ONCE):
         inside = F.lit(True) if lo is None else F.col("slide_id").between(lo, hi)
         part = crop_parts(patches.where(inside), models, Starts.of(bounds.where(inside)), stride, n_offsets, clustered)
         parts = part if parts is None else parts.unionByName(part)

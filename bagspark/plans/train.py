@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagspark.functions import ordinal
-from bagspark.operators.attention import mean_pool, pooling_statistics
+from bagspark.operators.attention import mean_pool
 from bagspark.operators.cohort import CohortError
 from bagspark.operators.metrics import aggregate_folds, corrected_resampled_t, grading_metrics
+from bagspark.operators.pooling import pooling_statistics
 from bagspark.session import materialise
 from bagspark.skew import attach_stats, extreme_rows
 

@@ -10,6 +10,7 @@ from bagspark.functions import vectors as V
 from bagspark.operators import attention as A
 from bagspark.operators import bags as B
 from bagspark.operators import losses as Ls
+from bagspark.operators import pooling as P
 from bagspark.operators.metrics import prediction_record
 from bagspark.plans import scoring as S
 from bagspark.queries.ordinal import CUM
@@ -88,7 +89,7 @@ def attention_pool(spark, sf):
     "patches_vec",
 )
 def pooling_statistics(spark, sf):
-    return rounded(A.pooling_statistics(vectors(spark, sf)), "mean", "max", "p90", "std", "top", "bottom")
+    return rounded(P.pooling_statistics(vectors(spark, sf)), "mean", "max", "p90", "std", "top", "bottom")
 
 
 @query(

@@ -172,6 +172,18 @@ def ranged_prefix(
     )
 
 
+def turns(rows: DataFrame, key: str, order: Sequence[str], at_once: int) -> list[tuple]:
+    """(lowest, highest) key of each turn, for work that can take about ``at_once`` rows at a time; a key is in one turn.
+
+    ``order`` starts with the key and is total. One turn without bounds, ``(None, None)``, if all rows fit.
+    """
+    if rows.count() <= at_once:
+        return [(None, None)]
+    placed = ranged_prefix(rows, order).groupBy(key).agg(F.min("before").alias("before"))
+    bounds = placed.groupBy(F.expr(f"before div {at_once}").alias("turn")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    return [(r["lo"], r["hi"]) for r in bounds.orderBy("turn").collect()]
+
+
 Rank = Callable[[Column], Column]
 
 
