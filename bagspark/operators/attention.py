@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bagspark.functions.ordinal import sigmoid
 from bagspark.skew import attach_stats, extreme_rows, order_statistics, percentiles
+from bagspark.sources.layout import Layout, beside_patches
 
 MAP_KEYS = ("slide_id", "k")
 
@@ -54,11 +55,23 @@ def mean_pool(patches: DataFrame) -> DataFrame:
     return pooled.select("slide_id", vector_to_array("v").alias("bag"))
 
 
-def attention_pool(patches: DataFrame, alpha: DataFrame) -> DataFrame:
-    """(slide_id, bag): attention-weighted mean at full width per map, then the mean over maps."""
-    weighted = patches.join(alpha.select("slide_id", "patch_idx", "k", "alpha"), ["slide_id", "patch_idx"])
-    per_map = weighted.groupBy("slide_id", "k").agg(Summarizer.mean(_vector(), F.col("alpha")).alias("v"))
-    bags = per_map.groupBy("slide_id").agg(Summarizer.mean(F.col("v"), F.lit(1.0)).alias("v"))
+def pooling_weights(alpha: DataFrame) -> DataFrame:
+    """(slide_id, patch_idx, weight): the mean over the maps of a slide of each map over its sum. Maps that sum to 0 do not count."""
+    mass = alpha.groupBy("slide_id", "k").agg(F.sum("alpha").alias("_mass"), _size()).where("_mass <> 0")
+    maps = mass.groupBy("slide_id").agg(F.count(F.lit(1)).alias("_maps"))
+    rows = attach_stats(alpha.select("slide_id", "patch_idx", "k", "alpha"), mass.join(maps, "slide_id"), ["slide_id", "k"], ["patch_idx"])
+    share = F.col("alpha") / F.col("_mass") / F.col("_maps")
+    return rows.groupBy("slide_id", "patch_idx").agg(F.sum(share).alias("weight"))
+
+
+def attention_pool(patches: DataFrame, alpha: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """(slide_id, bag): attention-weighted mean at full width per map, then the mean over maps.
+
+    Both means are linear, so each patch needs one weight, whatever the number of maps. With the ``layout`` of a bucketed table
+    the weights are sent to the vectors. Maps are over the patches that are there.
+    """
+    weighted = beside_patches(patches, pooling_weights(alpha), layout)
+    bags = weighted.groupBy("slide_id").agg(Summarizer.mean(_vector(), F.col("weight")).alias("v"))
     return bags.select("slide_id", vector_to_array("v").alias("bag"))
 
 

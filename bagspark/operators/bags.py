@@ -14,6 +14,7 @@ from bagspark.functions.hashing import hash_uniform
 from bagspark.functions.ordinal import cumulative_targets
 from bagspark.session import materialise
 from bagspark.skew import attach_stats, hash_rank, ranged_prefix, smallest_by_hash
+from bagspark.sources.layout import Layout, beside_patches
 
 
 def positions(patches: DataFrame) -> DataFrame:
@@ -21,10 +22,11 @@ def positions(patches: DataFrame) -> DataFrame:
     return ranged_prefix(patches.select("slide_id", "patch_idx"), ["patch_idx"], ["slide_id"], out="position")
 
 
-def crop_index(patches: DataFrame, bag_size: int) -> DataFrame:
+def crop_index(patches: DataFrame, bag_size: int, layout: Layout | None = None) -> DataFrame:
     """Adds ``crop`` (floor(position / bag_size)) and ``n_crops``; every patch is in one crop.
 
-    Only keys are ranked; where the ids of a slide have no gaps, the position is patch_idx itself.
+    Only keys are ranked. With the ``layout`` of a bucketed table crops are sent to the vectors. Without one, where the ids of
+    a slide have no gaps, the position is patch_idx itself.
     """
     sizes = patches.groupBy("slide_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("patch_idx").alias("_low"), F.max("patch_idx").alias("_high")
@@ -32,12 +34,16 @@ def crop_index(patches: DataFrame, bag_size: int) -> DataFrame:
     n_crops = F.greatest(F.ceil(F.col("n") / F.lit(bag_size)), F.lit(1))
     sizes = materialise(sizes.withColumn("n_crops", n_crops), "sizes")
     narrow = sizes.drop("_low", "_high")
+    crop = F.floor(F.col("position") / F.lit(bag_size))
+    if layout is not None:
+        keys = attach_stats(positions(patches), narrow, ["slide_id"], ["patch_idx"], written=True).withColumn("crop", crop)
+        return beside_patches(patches, keys.drop("n", "position"), layout)
     if sizes.where((F.col("_low") != 0) | (F.col("_high") != F.col("n") - 1)).isEmpty():
         placed = patches.withColumn("position", F.col("patch_idx"))
     else:
         placed = patches.join(positions(patches), ["slide_id", "patch_idx"])
     crops = attach_stats(placed, narrow, ["slide_id"], ["patch_idx"], written=True)
-    return crops.withColumn("crop", F.floor(F.col("position") / F.lit(bag_size))).drop("n", "position")
+    return crops.withColumn("crop", crop).drop("n", "position")
 
 
 def sample_subbag(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagspark.skew import attach_stats
+from bagspark.sources.layout import Layout, beside_slides
 
 # Name, vector width, licence, commercial use, channel mean, channel deviation, pooling.
 _IMAGENET = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
@@ -101,15 +102,20 @@ def bag_presence(ids: DataFrame, labels: DataFrame, patches: DataFrame) -> DataF
     return ids.select("slide_id").distinct().join(labels, "slide_id", "left").join(sizes, "slide_id", "left")
 
 
-def attach_bags(ids: DataFrame, labels: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patches of the requested slides with their label; raises when any request has no patches."""
+def attach_bags(ids: DataFrame, labels: DataFrame, patches: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """Patches of the requested slides with their label; raises when any request has no patches.
+
+    With the ``layout`` of a bucketed table labels are sent to the vectors."""
     bags = bag_presence(ids, labels, patches)
     absent = bags.where("n IS NULL").select("slide_id")
     n_absent = absent.count()
     if n_absent:
         sample = [r[0] for r in absent.orderBy("slide_id").limit(5).collect()]
         raise CohortError(f"{n_absent} requested slides have no features, e.g. {sample}")
-    return attach_stats(patches, bags.where("label IS NOT NULL"), ["slide_id"], ["patch_idx"]).drop("n")
+    bags = bags.where("label IS NOT NULL")
+    if layout is not None:
+        return beside_slides(patches, bags.drop("n"), layout)
+    return attach_stats(patches, bags, ["slide_id"], ["patch_idx"]).drop("n")
 
 
 def licence_status(features: DataFrame, registry: DataFrame, allow_noncommercial: bool = False) -> DataFrame:

@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from bagspark.operators import cohort as K
+from bagspark.operators.bags import crop_index
 from bagspark.queries.registry import query, r6, tables
 from bagspark.session import scratch_path
 from bagspark.sources import store as S
+from bagspark.sources.layout import Layout, read_bucketed, write_bucketed
 
 # Encoder number of a slide in the fixture: its position in the registry table.
 def encoder_of():
@@ -85,6 +87,34 @@ def prefer_source(spark, sf):
     return S.prefer_source([(rows.where("label <> 1"), 0), (rows.where("label <> 2"), 1)]).select(*keep)
 
 
+LAYOUT = Layout(buckets=16, stretch=10)
+
+
+def bucketed(spark, sf):
+    """The vectors as a bucketed table under the shared folder."""
+    path = scratch_path(spark, "bucketed")
+    table = "bucketed_" + path.rpartition("-")[2]
+    write_bucketed(patches(spark, sf), table, LAYOUT, path)
+    return read_bucketed(spark, table)
+
+
+@query(
+    "bucketed_bags",
+    """WITH slides AS (SELECT DISTINCT slide_id, label FROM patches_vec WHERE label <> 1),
+            place AS (SELECT slide_id, patch_idx, row_number() OVER (PARTITION BY slide_id ORDER BY patch_idx) - 1 AS p, count(*) OVER (PARTITION BY slide_id) AS n FROM patches_vec)
+       SELECT slide_id, patch_idx, label, CAST(floor(p / 7) AS BIGINT) AS crop, CAST(greatest(ceil(n / 7.0e0), 1) AS BIGINT) AS n_crops, round(features[1]::DOUBLE, 6) + 0.0 AS f0
+       FROM patches_vec JOIN slides USING (slide_id, label) JOIN place USING (slide_id, patch_idx)""",
+    "patches_vec",
+)
+def bucketed_bags(spark, sf):
+    """Labels and crops joined to vectors that stay in their buckets."""
+    rows = bucketed(spark, sf)
+    slides = rows.where("label <> 1").select("slide_id", "label").distinct()
+    bags = K.attach_bags(slides, slides, rows.drop("label"), LAYOUT)
+    crops = crop_index(rows.drop("label"), 7, LAYOUT).select("slide_id", "patch_idx", "crop", "n_crops")
+    return bags.join(crops, ["slide_id", "patch_idx"]).select("slide_id", "patch_idx", "label", "crop", "n_crops", r6(F.col("features")[0]).alias("f0"))
+
+
 @query("slide_inventory", f"WITH {INVENTORY} SELECT * FROM inventory", "patches_vec")
 def slide_inventory(spark, sf):
     rows = patches(spark, sf)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagspark.session import materialise
 from bagspark.skew import attach_stats
+from bagspark.sources.layout import Layout, beside_slides
 
 KEYS = ["slide_id", "patch_idx"]
 
@@ -38,18 +40,22 @@ def read_features(
     return rows
 
 
-def prefer_source(stores: Sequence[tuple[DataFrame, int]]) -> DataFrame:
-    """Rows of each slide from the store with the smallest priority number that has the slide."""
+def prefer_source(stores: Sequence[tuple[DataFrame, int]], layout: Layout | None = None) -> DataFrame:
+    """Rows of each slide from the store with the smallest priority number that has the slide.
+
+    Priorities are compared on slides alone. With the ``layout`` of bucketed tables the choice is sent to the vectors."""
+    sizes = None
+    for df, priority in stores:
+        part = df.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n")).withColumn("priority", F.lit(priority))
+        sizes = part if sizes is None else sizes.unionByName(part)
+    sizes = materialise(sizes, "sizes")
+    best = sizes.join(sizes.groupBy("slide_id").agg(F.min("priority").alias("priority")), ["slide_id", "priority"])
     merged = None
     for df, priority in stores:
-        part = df.withColumn("priority", F.lit(priority))
-        merged = part if merged is None else merged.unionByName(part)
-    best = merged.groupBy("slide_id").agg(F.min("priority").alias("_best"), F.count(F.lit(1)).alias("n"))
-    return (
-        attach_stats(merged, best, ["slide_id"], ["patch_idx"])
-        .where(F.col("priority") == F.col("_best"))
-        .drop("_best", "n")
-    )
+        chosen = best.where(F.col("priority") == priority)
+        rows = beside_slides(df, chosen.drop("n"), layout) if layout else attach_stats(df, chosen, ["slide_id"], ["patch_idx"]).drop("n")
+        merged = rows if merged is None else merged.unionByName(rows)
+    return merged
 
 
 def slide_inventory(patches: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
