@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from bagspark.functions import ordinal
 from bagspark.operators.bags import positions
+from bagspark.operators.cohort import CohortError, check_cohort
 from bagspark.operators.metrics import crop_average, ensemble_predict, prediction_record
 from bagspark.plans.evaluate import evaluate_locked
 from bagspark.plans.scoring import EPS, Weights, _all_scores, _check_size, _matrix, _offsets, mlp_head
@@ -162,12 +163,16 @@ def score_crops(
 
 def evaluate_crops(
     patches: DataFrame, models: Sequence[Weights], splits: DataFrame, bag_size: int = 2048, unlock: bool = False, bootstrap: int = 2000,
-    stride: int = 64, n_offsets: int | None = None, n_classes: int = 3, clustered: bool = False,
+    stride: int = 64, n_offsets: int | None = None, n_classes: int = 3, clustered: bool = False, inventory: DataFrame | None = None,
 ) -> DataFrame:
-    """The locked evaluation at full coverage: only test slides are scored, and nothing is read before ``unlock`` is given."""
+    """The locked evaluation at full coverage: only test slides are scored, and nothing is read before ``unlock`` is given.
+
+    With an ``inventory`` of the store the test cohort is checked first: one width, one encoder, no slide missing."""
     if not unlock:
         return evaluate_locked(patches, splits, unlock)
     test = splits.where("is_test").select(F.col("patient_id").alias("slide_id"))
+    if inventory is not None and (found := check_cohort(test, inventory))["missing"]:
+        raise CohortError(f"{found['missing']} test slides have no features, e.g. {found['missing_first']}")
     crops = crop_predictions(patches, models, bag_size, stride, n_offsets, n_classes, clustered, test)
     cums = materialise(crop_average(crops, n_classes).withColumnRenamed("slide_id", "patient_id"), "crop_cums")
     return evaluate_locked(cums, splits, unlock, bootstrap, n_classes)

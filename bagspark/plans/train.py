@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from bagspark.functions import ordinal
 from bagspark.operators.attention import mean_pool
-from bagspark.operators.cohort import CohortError
+from bagspark.operators.cohort import CohortError, check_cohort
+from bagspark.operators.history import median_prune
 from bagspark.operators.metrics import aggregate_folds, corrected_resampled_t, grading_metrics
 from bagspark.operators.pooling import pooling_statistics
 from bagspark.session import materialise
@@ -99,27 +100,38 @@ def _folds(splits: DataFrame) -> list[int]:
     return list(range(int(rows["m"]) + 1))
 
 
-def _cv_predictions(rows: DataFrame, folds: list[int], n_classes: int, options: FitOptions) -> DataFrame:
-    """Out-of-fold predictions of (slide_id, label, fold, features vector) rows."""
+def _fold_predictions(rows: DataFrame, fold: int, n_classes: int, options: FitOptions) -> DataFrame:
+    """Predictions of one fold, fit on the others."""
+    score = fit_corn(rows.where(F.col("fold") != fold), n_classes, options)
+    return score(rows.where(F.col("fold") == fold)).select(
+        "slide_id", "fold", F.col("label").alias("y_true"), ordinal.corn_predict("cumulative", n_classes=n_classes).alias("y_pred"), "cumulative"
+    )
 
-    def one(fold: int) -> DataFrame:
-        score = fit_corn(rows.where(F.col("fold") != fold), n_classes, options)
-        return score(rows.where(F.col("fold") == fold))
 
+def _cv_predictions(rows: DataFrame, folds: list[int], n_classes: int, options: FitOptions) -> DataFrame:
+    """Out-of-fold predictions of (slide_id, label, fold, features vector) rows."""
     with ThreadPool(min(options.parallelism, len(folds))) as pool:
-        parts = pool.map(one, folds)
+        parts = pool.map(lambda fold: _fold_predictions(rows, fold, n_classes, options), folds)
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
-    return scored.select(
-        "slide_id", "fold", F.col("label").alias("y_true"), ordinal.corn_predict("cumulative", n_classes=n_classes).alias("y_pred"), "cumulative"
-    )
+    return scored
+
+
+def _checked(splits: DataFrame, inventory: DataFrame | None) -> None:
+    """Raises when the slides to be used mix vector widths or encoders, before any vector is read."""
+    if inventory is not None:
+        check_cohort(splits.where(~F.col("is_test")).select(F.col("patient_id").alias("slide_id")), inventory)
 
 
 def train_cv(
-    patches: DataFrame, splits: DataFrame, pooling: str = "mean", n_classes: int = 3, options: FitOptions = FitOptions()
+    patches: DataFrame, splits: DataFrame, pooling: str = "mean", n_classes: int = 3, options: FitOptions = FitOptions(),
+    inventory: DataFrame | None = None,
 ) -> DataFrame:
-    """Out-of-fold predictions (slide_id, fold, y_true, y_pred, cumulative) of one pooling arm."""
+    """Out-of-fold predictions (slide_id, fold, y_true, y_pred, cumulative) of one pooling arm.
+
+    With an ``inventory`` of the store the cohort is checked first."""
+    _checked(splits, inventory)
     features = _labelled(pooled_features(patches, [pooling]), splits)
     rows = materialise(
         features.select("slide_id", "label", "fold", array_to_vector(F.col(pooling).cast("array<double>")).alias("features")), "pooled"
@@ -167,31 +179,45 @@ def pooling_comparison(
 
 def tune(
     patches: DataFrame, splits: DataFrame, grid: Sequence[dict], n_trials: int | None = None, n_classes: int = 3,
-    options: FitOptions = FitOptions(), seed: int = 0,
+    options: FitOptions = FitOptions(), seed: int = 0, n_startup_trials: int = 4, n_warmup_steps: int = 2, inventory: DataFrame | None = None,
 ) -> DataFrame:
-    """(trial, pooling, reg_param, fold, score, mean_score, best) over the whole grid, or ``n_trials`` points drawn from it.
+    """(trial, pooling, reg_param, fold, score, mean_score, best, pruned_at, folds_run) over the grid, or ``n_trials`` points drawn from it.
 
     Points are drawn by a seeded hash of their values, so the order of the list decides nothing; ``trial`` is the place in it.
 
-    Only dev folds are read. The per-fold history is what median pruning works on.
+    Trials advance fold by fold, side by side. After each fold :func:`median_prune` is asked, and a trial that loses has no fit of a
+    later fold: its rows end there. A trial is compared with earlier trials of the same fold only, so the outcome is that of
+    running one trial after the other. ``best`` is chosen among trials with all folds. Only dev folds are read.
     """
+    _checked(splits, inventory)
     drawn = sorted(enumerate(grid), key=lambda t: hashlib.sha256(f"{seed}|{sorted(t[1].items())}".encode()).hexdigest())
-    trials = sorted(drawn[:n_trials], key=lambda t: t[0])
-    arms = sorted({t["pooling"] for _, t in trials})
+    alive = dict(sorted(drawn[:n_trials], key=lambda t: t[0]))
+    arms = sorted({t["pooling"] for t in alive.values()})
     features = materialise(_labelled(pooled_features(patches, arms), splits), "tuning")
-    folds = _folds(splits)
-    out = None
-    for number, t in trials:
+    vectors = {
+        a: features.select("slide_id", "label", "fold", array_to_vector(F.col(f"`{a}`").cast("array<double>")).alias("features")) for a in arms
+    }
+    spark, history, cut = patches.sparkSession, [], {}
+
+    def run(item: tuple[int, dict], fold: int, step: int) -> tuple:
+        number, t = item
         tried = FitOptions(t["reg_param"], options.max_iter, options.parallelism)
-        row = _arm_scores(features, [t["pooling"]], folds, n_classes, tried).select(
-            F.lit(number).alias("trial"), F.col("arm").alias("pooling"), F.lit(float(t["reg_param"])).alias("reg_param"),
-            "fold", F.col("qwk").alias("score"),
-        )
-        out = row if out is None else out.unionByName(row)
-    scores = materialise(out, "trials")
-    means = scores.groupBy("trial").agg(F.avg("score").alias("mean_score"))
-    best = means.agg(F.max_by("trial", F.struct("mean_score", -F.col("trial"))).alias("_best"))
-    joined = scores.join(means, "trial").withColumn("_one", F.lit(1)).join(best.withColumn("_one", F.lit(1)), "_one")
+        row = grading_metrics(_fold_predictions(vectors[t["pooling"]], fold, n_classes, tried), n_classes).first()
+        return number, t["pooling"], float(t["reg_param"]), fold, step, row["qwk"]
+
+    for step, fold in enumerate(_folds(splits)):
+        with ThreadPool(max(1, min(options.parallelism, len(alive)))) as pool:
+            history += pool.map(lambda item: run(item, fold, step), list(alive.items()))  # noqa: B023
+        scores = spark.createDataFrame(history, "trial int, pooling string, reg_param double, fold int, step int, score double")
+        asked = median_prune(scores.withColumn("study", F.lit(0)), n_startup_trials, n_warmup_steps).where("pruned_at IS NOT NULL")
+        cut |= {r["trial"]: r["pruned_at"] for r in asked.collect() if r["trial"] in alive}  # one row per trial at most
+        alive = {k: t for k, t in alive.items() if k not in cut}
+    ended = F.lit(None).cast("int")
+    for trial, at in cut.items():
+        ended = F.when(F.col("trial") == trial, F.lit(at)).otherwise(ended)
+    means = scores.groupBy("trial").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).cast("int").alias("folds_run")).withColumn("pruned_at", ended)
+    best = means.agg(F.max_by("trial", F.when(F.col("pruned_at").isNull(), F.struct("mean_score", -F.col("trial")))).alias("_best"))
+    joined = scores.drop("step").join(means, "trial").withColumn("_one", F.lit(1)).join(best.withColumn("_one", F.lit(1)), "_one")
     return joined.withColumn("best", F.col("trial") == F.col("_best")).drop("_one", "_best")
 
 
@@ -199,7 +225,7 @@ def instance_pool(
     patches: DataFrame, splits: DataFrame, fraction: float = 0.10, mode: str = "top", n_classes: int = 3,
     options: FitOptions = FitOptions(),
 ) -> DataFrame:
-    """Out-of-fold predictions when slides are pooled by a patch classifier fit on the training folds.
+    """Out-of-fold predictions when slides are pooled by a patch classifier fit on the training folds. Dev subjects without patches are an error.
 
     Patches inherit the label of their slide; the classifier's expected grade ranks them. ``mode``
     "top" averages the best share of each slide, "softmax" weights all patches by exp(score).
@@ -208,7 +234,10 @@ def instance_pool(
         raise ValueError("mode must be 'top' or 'softmax'")
     dev = splits.where(~F.col("is_test")).select(F.col("patient_id").alias("slide_id"), "label", "fold")
     sizes = patches.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"))
-    bags = dev.join(sizes, "slide_id")
+    bags = materialise(dev.join(sizes, "slide_id", "left"), "dev_bags")
+    absent = bags.where("n IS NULL").select("slide_id").limit(5).collect()
+    if absent:
+        raise CohortError(f"dev subjects without features, e.g. {[r[0] for r in absent]}")
     rows = attach_stats(patches.select("slide_id", "patch_idx", "features"), bags, ["slide_id"], ["patch_idx"]).select(
         "slide_id", "patch_idx", "label", "fold", array_to_vector(F.col("features").cast("array<double>")).alias("features")
     )

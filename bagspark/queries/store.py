@@ -122,6 +122,17 @@ def slide_inventory(spark, sf):
     return S.slide_inventory(rows, provenance)
 
 
+@query(
+    "store_inventory",
+    """SELECT slide_id, count(*) AS n_patches, CAST(max(len(features)) AS INT) AS width, 'h-optimus-0' AS encoder,
+              CASE WHEN label = 0 THEN 'cls_mean' ELSE 'cls' END AS pooling FROM patches_vec GROUP BY slide_id, label""",
+    "patches_vec",
+)
+def store_inventory(spark, sf):
+    """From the statistics written with the store."""
+    return S.store_inventory(spark, stored(spark, sf))
+
+
 @query(
     "verify_cohort",
     f"""WITH {INVENTORY}, asked AS (SELECT slide_id * 3 AS slide_id FROM inventory),

@@ -54,3 +54,40 @@ def test_comparison_tuning_and_instances(cohort):
     assert grading_metrics(top).first()["qwk"] > 0.7
     with pytest.raises(ValueError):
         T.instance_pool(patches, splits, mode="other")
+
+
+def test_a_losing_trial_stops_and_survivors_keep_their_scores(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, i, [float(v) for v in rng.normal(0, 0.3, 4) + [s % 3, 0, 0, 0]]) for s in range(75) for i in range(2)]
+    patches = materialise(spark.createDataFrame(rows, "slide_id bigint, patch_idx bigint, features array<float>"))
+    labels = spark.range(75).select(F.col("id").alias("patient_id"), (F.col("id") % 3).cast("int").alias("label"))
+    splits = materialise(make_splits(labels, n_folds=5))
+    grid = [{"pooling": "mean", "reg_param": 0.01 * (k + 1)} for k in range(2)] + [{"pooling": "std", "reg_param": 500.0}]
+    trials = T.tune(patches, splits, grid, options=FAST, n_startup_trials=2, n_warmup_steps=1).collect()
+    by = {k: [r for r in trials if r["trial"] == k] for k in range(3)}
+    assert len(by[2]) == 2 and {(r["pruned_at"], r["folds_run"], r["best"]) for r in by[2]} == {(1, 2, False)}
+    assert all(len(by[k]) == 5 and by[k][0]["pruned_at"] is None for k in range(2))
+    alone = T.tune(patches, splits, grid[:1], options=FAST).collect()
+    assert sorted((r["fold"], r["score"]) for r in alone) == sorted((r["fold"], r["score"]) for r in by[0])
+    assert sum(r["best"] for r in trials) == 5
+
+
+def test_mixed_cohorts_are_refused_before_vectors_are_read(spark, cohort):
+    patches, splits = cohort
+    sound = spark.range(60).selectExpr("id AS slide_id", "6L AS n_patches", "4 AS width", "'e' AS encoder")
+    mixed = sound.withColumn("width", F.when(F.col("slide_id") == 7, 8).otherwise(4))
+    boom = patches.withColumn("features", F.raise_error(F.lit("read")).cast("array<float>"))
+    for run in (T.train_cv, lambda p, s, **k: T.tune(p, s, [{"pooling": "mean", "reg_param": 0.1}], **k)):
+        with pytest.raises(CohortError, match="widths"):
+            run(boom, make_splits_all_dev(splits), inventory=mixed)
+    assert T.train_cv(patches, splits, options=FAST, inventory=sound).count() > 0
+
+
+def make_splits_all_dev(splits):
+    return splits.withColumns({"is_test": F.lit(False), "fold": F.coalesce("fold", F.lit(0))})
+
+
+def test_instances_of_absent_subjects_are_an_error(cohort):
+    patches, splits = cohort
+    with pytest.raises(CohortError, match="without features"):
+        T.instance_pool(patches.where("slide_id > 30"), splits, options=FAST)
