@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -122,18 +122,8 @@ def resampled_kappa(counts: np.ndarray) -> np.ndarray:
     return np.where(single | (expected == 0), np.nan, 1 - observed / np.where(expected == 0, 1, expected))
 
 
-def bootstrap_qwk_ci(
-    preds: DataFrame, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0, n_classes: int = 3
-) -> DataFrame:
-    """Percentile interval of kappa over resamples with replacement: ``qwk_lo, qwk_hi, n_used``.
-
-    Resampling rows and counting them is a multinomial draw over the K x K cells, so the cost does
-    not depend on the number of rows and only the cell counts pass through the driver. Resamples
-    with a single true class are left out; without any left the bounds are null.
-    """
-    cells = confusion_wide(preds, n_classes).first()
-    counts = np.array([cells[_cell(i, j)] for i, j in _cells(n_classes)], dtype=np.int64)
-    total, k = int(counts.sum()), n_classes
+def _multinomial_kappas(spark: SparkSession, counts: np.ndarray, n_boot: int, seed: int, k: int) -> DataFrame:
+    total = int(counts.sum())
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -145,7 +135,52 @@ def bootstrap_qwk_ci(
                 kappas = resampled_kappa(tables.reshape(-1, k, k).astype(float))
             yield pd.DataFrame({"qwk": kappas})
 
-    scores = preds.sparkSession.range(n_boot).mapInPandas(draw, "qwk double").where(~F.isnan("qwk"))
+    return spark.range(n_boot).mapInPandas(draw, "qwk double").where(~F.isnan("qwk"))
+
+
+def _hashed_kappas(spark: SparkSession, counts: np.ndarray, n_boot: int, seed: int, k: int) -> DataFrame:
+    """Every draw of every resample is a hash: four of 32 bits from md5("seed|resample|draw div 4"), each looked up in the cumulative
+    counts of the cells. Draws are counted where they are made, so one row per resample and task is exchanged."""
+    total = int(counts.sum())
+    quads = -(-total // 4)
+    limits = [int(v) for v in np.cumsum(counts)]
+    ids = spark.range(n_boot * quads).select(F.expr(f"id div {max(quads, 1)}").alias("b"), F.expr(f"id % {max(quads, 1)}").alias("q"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("q").cast("string"))).alias("d")
+    at = [
+        F.when(F.col("q") * 4 + part < total, F.floor(F.conv(F.substring("d", 8 * part + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * total)).alias(f"p{part}")
+        for part in range(4)
+    ]
+    placed = ids.select("b", "q", digest).select("b", *at)
+    below = [F.sum(_total([F.when(F.col(f"p{part}") < v, 1).otherwise(0) for part in range(4)])).alias(f"c{c}") for c, v in enumerate(limits)]
+    reached = placed.groupBy("b").agg(*below)
+    cells = {(i, j): F.col(f"c{i * k + j}") - (F.col(f"c{i * k + j - 1}") if i + j else F.lit(0)) for i, j in _cells(k)}
+    wide = reached.select("b", *[v.cast("double").alias(_cell(*ij)) for ij, v in cells.items()])
+    row = [_total([F.col(_cell(i, j)) for j in range(k)]) for i in range(k)]
+    col = [_total([F.col(_cell(i, j)) for i in range(k)]) for j in range(k)]
+    weighted = [(float((i - j) ** 2), i, j) for i, j in _cells(k) if i != j]
+    observed = _total([F.lit(w) * F.col(_cell(i, j)) for w, i, j in weighted])
+    expected = _total([F.lit(w) * row[i] * col[j] for w, i, j in weighted])
+    classes = _total([F.when(r > 0, 1).otherwise(0) for r in row])
+    kappa = F.lit(1.0) - F.try_divide(observed * F.lit(float(total)), expected)
+    return wide.where(classes >= 2).select(kappa.alias("qwk")).where(F.col("qwk").isNotNull())
+
+
+def bootstrap_qwk_ci(
+    preds: DataFrame, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0, n_classes: int = 3, method: str = "multinomial"
+) -> DataFrame:
+    """Percentile interval of kappa over resamples with replacement: ``qwk_lo, qwk_hi, n_used``.
+
+    Resampling rows and counting them is a multinomial draw over the K x K cells, so by ``method`` "multinomial" the cost does
+    not depend on the number of rows. "hash" makes every single draw, by a rule that can be restated anywhere, at a cost of
+    rows x resamples hashes. Only the cell counts pass through the driver. Resamples
+    with a single true class are left out; without any left the bounds are null.
+    """
+    if method not in ("multinomial", "hash"):
+        raise ValueError("method must be 'multinomial' or 'hash'")
+    cells = confusion_wide(preds, n_classes).first()
+    counts = np.array([cells[_cell(i, j)] for i, j in _cells(n_classes)], dtype=np.int64)
+    kappas = _hashed_kappas if method == "hash" else _multinomial_kappas
+    scores = kappas(preds.sparkSession, counts, n_boot, seed, n_classes)
     return scores.agg(
         F.percentile("qwk", F.lit(alpha / 2)).alias("qwk_lo"),
         F.percentile("qwk", F.lit(1 - alpha / 2)).alias("qwk_hi"),

@@ -16,10 +16,11 @@ def evaluate_locked(
     unlock: bool = False,
     bootstrap: int = 2000,
     n_classes: int = 3,
+    method: str = "multinomial",
 ) -> DataFrame:
     """One row: metrics of the ensemble on test patients, spread, fingerprint and kappa interval.
 
-    ``model_cums`` holds (patient_id, model, cumulative). Refuses to run without ``unlock=True``.
+    ``model_cums`` holds (patient_id, model, cumulative). Refuses to run without ``unlock=True``. ``method`` is that of the bootstrap.
     """
     if not unlock:
         raise SplitError("the test set is locked; pass unlock=True once model selection is over")
@@ -32,5 +33,5 @@ def evaluate_locked(
     extra = preds.agg(F.avg("spread_samp").alias("mean_spread"), F.max("n_models").alias("n_models"), one)
     out = row.join(extra, "_one").join(fingerprint(splits).select("*", one), "_one")
     if bootstrap:
-        out = out.join(bootstrap_qwk_ci(preds, bootstrap, n_classes=n_classes).select("*", one), "_one")
+        out = out.join(bootstrap_qwk_ci(preds, bootstrap, n_classes=n_classes, method=method).select("*", one), "_one")
     return out.drop("_one")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from bagspark.operators import catalog as C
 from bagspark.operators.splits import majority_label
-from bagspark.queries.registry import query, r6, rounded, tables
+from bagspark.queries.registry import query, r6, rounded, tables, write_file
 from bagspark.queries.splits import MAJORITY
-from bagspark.session import scratch_path
+from bagspark.session import materialise, scratch_path
 from bagspark.sources import landed as L
 
 DESCRIBED = """described AS (
@@ -256,3 +256,30 @@ def plan_budget(spark, sf):
     df = C.plan_budget(C.one_slide_per_patient(catalog(spark, sf)))
     hours = ["download_h", "decode_h", "encode_h", "total_h", "per_shard_h", "storage_gb"]
     return rounded(df, *hours).select("accelerator", "slides", *hours, F.col("free_cap").cast("bigint").alias("free_cap"), "verdict")
+
+
+LANDED = """held AS (SELECT c_nationkey AS n, concat('nation', CAST(c_nationkey AS STRING), '.svs') AS file_name,
+    concat(CAST(count(*) AS STRING), '|', CAST(min(c_custkey) AS STRING), '|', CAST(max(c_custkey) AS STRING)) AS text FROM {} GROUP BY c_nationkey)"""
+
+
+@query(
+    "landed_files",
+    f"""WITH {LANDED.format('customer')}
+        SELECT file_name, CASE WHEN n % 5 <> 3 THEN CAST(strlen(text) AS BIGINT) END AS length, CASE WHEN n % 5 <> 3 THEN md5(text) END AS found_md5,
+               CASE n % 5 WHEN 3 THEN 'missing' WHEN 1 THEN 'size_mismatch' WHEN 2 THEN 'md5_mismatch' ELSE 'ok' END AS status FROM held""",
+)
+def landed_files(spark, sf):
+    """Lands one file per nation but some, scans them, small ones as values and others in blocks, and holds them against a catalogue."""
+    customers = tables(spark, sf, "customer")
+    held = materialise(spark.sql(f"WITH {LANDED.format('{customer}')} SELECT * FROM held", customer=customers), "held")
+    root = scratch_path(spark, "landed")
+    for row in held.where("n % 5 <> 3").collect():  # one short row per nation
+        write_file(spark, f"{root}/{row['n'] % 3}/{row['file_name']}", row["text"])
+    odd = F.col("n") % 5
+    catalog = held.select(
+        "file_name", F.when(odd == 1, F.length("text") + 1).when(odd == 4, 0).otherwise(F.length("text")).cast("long").alias("file_size"),
+        F.when(odd == 2, F.md5(F.lit("other"))).when(odd == 4, F.lit(None)).otherwise(F.md5("text")).alias("md5"),
+    )
+    landed = L.scan_landed(spark, root, largest_value=held.agg(F.percentile_approx(F.length("text"), 0.5)).first()[0])
+    checked = C.verify_landed_files(catalog, landed)
+    return checked.join(landed.select("file_name", "length", F.col("md5").alias("found_md5")), "file_name", "left").select("file_name", "length", "found_md5", "status")

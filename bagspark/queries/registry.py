@@ -168,3 +168,12 @@ def r6(column: Column | str) -> Column:
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(n) for n in names})
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small named file through Spark's own file system layer."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bagspark.operators.metrics import grading_metrics
 from bagspark.operators.splits import make_splits
 from bagspark.plans import train as T
-from bagspark.queries.registry import query, rounded, tables
+from bagspark.queries.registry import query, rounded, tables, write_file
 from bagspark.session import materialise, scratch_path
 from bagspark.sources.landed import collect_runs as collect
 
@@ -74,20 +74,11 @@ def collect_runs(spark, sf):
     )
     for row in runs.select("event_type", manifest.alias("text")).collect():
         folder = f"{root}/{row['event_type']}"
-        _write_file(spark, f"{folder}/SPLITS.json", "{}")
+        write_file(spark, f"{folder}/SPLITS.json", "{}")
         if row["event_type"] != "view":
-            _write_file(spark, f"{folder}/MANIFEST.json", row["text"])
+            write_file(spark, f"{folder}/MANIFEST.json", row["text"])
         if row["event_type"] == "error":
-            _write_file(spark, f"{folder}/TRAINING_FAILED.txt", "diverged")
+            write_file(spark, f"{folder}/TRAINING_FAILED.txt", "diverged")
     return rounded(collect(spark, root), "cv_qwk_mean", "cv_qwk_std").select(
         "run", "run_status", "n_usable", "total_patches", "cv_qwk_mean", "cv_qwk_std"
     )
-
-
-def _write_file(spark, path, text):
-    """One small named file through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-    stream.write(bytearray(text, "utf-8"))
-    stream.close()

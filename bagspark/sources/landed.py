@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bagspark.operators.catalog import describe_files
+from bagspark.sources.digests import file_digests
 
 LISTING_SCHEMA = (
     "data struct<hits: array<struct<file_id: string, file_name: string, file_size: bigint, md5sum: string,"
@@ -74,18 +75,20 @@ def read_heartbeats(spark: SparkSession, path: str, schema: str = HEARTBEAT_SCHE
     return documents.where(~broken).select("d.*", "file_name").drop("_broken"), documents.agg(F.count_if(broken).alias("n_unreadable"))
 
 
-def scan_landed(spark: SparkSession, path: str, with_md5: bool = True) -> DataFrame:
+def scan_landed(spark: SparkSession, path: str, with_md5: bool = True, largest_value: int = LARGEST_VALUE) -> DataFrame:
     """(file_name, length, md5) of landed files. Without checksums no content is loaded.
 
-    A task cannot hold a file of 2 GiB or more as one value; of these only the length is read, and the checksum is null.
+    A task cannot hold a file of 2 GiB or more as one value; these are read in blocks, one file per task.
+    Spark's listing leaves empty files out, so a file that landed empty counts as missing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("file_name")
-    unchecked = F.lit(None).cast("string").alias("md5")
     if not with_md5:
-        return files.select(name, "length", unchecked)
-    small = files.where(F.col("length") < LARGEST_VALUE).select(name, "length", F.md5("content").alias("md5"))
-    return small.unionByName(files.where(F.col("length") >= LARGEST_VALUE).select(name, "length", unchecked))
+        return files.select(name, "length", F.lit(None).cast("string").alias("md5"))
+    small = files.where(F.col("length") < largest_value).select(name, "length", F.md5("content").alias("md5"))
+    # a listing of paths; so large files number one in 2 GiB of the data at most
+    large = [r["path"] for r in files.where(F.col("length") >= largest_value).select("path").collect()]
+    return small.unionByName(file_digests(spark, large).select(name, "length", "md5"))
 
 
 MANIFEST_SCHEMA = (

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,30 @@ def test_grades_outside_the_classes_are_counted(spark):
     r = grading_metrics(df).first()
     assert (r["n"], r["accuracy"], r["adjacent_accuracy"], r["mean_absolute_error"]) == (4, 0.75, 1.0, 0.25)
     assert r["f1_2"] == 0.0 and r["qwk"] == 1.0
+
+
+def test_both_bootstraps_agree_and_odd_inputs_have_a_result(spark):
+    rows = [(i % 3, (i + (i % 5 == 0)) % 3) for i in range(240)]
+    preds = spark.createDataFrame(rows, "y_true int, y_pred int")
+    a, b = (metrics.bootstrap_qwk_ci(preds, n_boot=1500, seed=4, method=m).first() for m in ("multinomial", "hash"))
+    assert a["n_used"] == b["n_used"] == 1500
+    assert abs(a["qwk_lo"] - b["qwk_lo"]) < 0.02 and abs(a["qwk_hi"] - b["qwk_hi"]) < 0.02
+    again = metrics.bootstrap_qwk_ci(preds.repartition(7), n_boot=1500, seed=4, method="hash").first()
+    assert again == b and metrics.bootstrap_qwk_ci(preds, n_boot=1500, seed=5, method="hash").first() != b
+    for odd in (preds.where("false"), preds.where("y_true = 1")):
+        assert tuple(metrics.bootstrap_qwk_ci(odd, n_boot=20, method="hash").first()) == (None, None, 0)
+    with pytest.raises(ValueError):
+        metrics.bootstrap_qwk_ci(preds, method="other")
+
+
+def test_hashed_draws_count_every_row_of_every_resample(spark):
+    counts = np.array([3, 0, 1, 0, 5, 2, 1, 0, 2])
+    kappas = metrics._hashed_kappas(spark, counts, 30, 0, 3).collect()
+    expected = []
+    for b in range(30):
+        table = np.zeros(9)
+        for d in range(14):
+            word = hashlib.md5(f"0|{b}|{d // 4}".encode()).hexdigest()[8 * (d % 4) : 8 * (d % 4) + 8]
+            table[np.searchsorted(np.cumsum(counts), int(word, 16) / 2**32 * 14 // 1, side="right")] += 1
+        expected.append(float(metrics.resampled_kappa(table.reshape(3, 3))))
+    assert sorted(round(r["qwk"], 9) for r in kappas) == sorted(round(k, 9) for k in expected if k == k)
