@@ -1,6 +1,6 @@
 """Language-model scoring by a weighted backoff automaton over word trigrams or bigrams.
 
-States are the bigrams and the words seen in training, the start, and one empty state. A bigram that occurs ``least`` times
+States are the bigrams and the words seen in training, the start, and one empty state. A bigram that occurs
 in training is an arc from its first word, a trigram from its first two, with its smoothed probability. Every state has a
 failure arc to the state of its last word, a word state to the empty one, that carries the mass left over; the empty state
 has an arc for every token, also for unknown ones. Texts are read once from left to right: the state follows the tokens and
@@ -11,7 +11,9 @@ the log-probabilities add up.
     P(w | v)   = (c(v w) - D) / c(v) + b(v) P(w)             if v w is an arc
     P(w | v)   = b(v) P(w)                                   else, over the failure arc
     P(w)       = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    b(h)       = 1 - sum over arcs of h of (c - D) / c(h)
+    b(h)       = 1 - sum over arcs of h of (c - D) / c(h) = D arcs(h) / c(h), or 1 without arcs
+
+The sums need no exchange of their own: every n-gram is an arc, so the counts of a context's arcs add up to its own count.
 
 All counts are exact and over all training texts. No table of words is sent to all tasks: every chunk of texts asks
 for the numbers of its own words, bigrams and trigrams (``ledger``) and builds the part of the automaton that its texts
@@ -39,16 +41,33 @@ ADDED = 0.1
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 FINER = 2
+SLICE = 1 << 17
+"""Texts are cut to words so many bytes at a time: working arrays then stay in the caches."""
 
 
 def bigrams(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9FB21C651E98DF25) + token)
 
 
+def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rising distinct keys, the place of each key among them); quick where keys repeat often, as words do."""
+    found = pa.array(keys, pa.uint64()).dictionary_encode()
+    distinct = found.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[found.indices.to_numpy()]
+
+
+def kept_back(arcs: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The share that a state leaves to its failure arc."""
+    return np.where(arcs > 0, DISCOUNT * arcs / np.maximum(left, 1), 1.0)
+
+
 def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(token hash, hash of the token before, first token of each text, whether the token is in training) of a chunk."""
     parts, sizes = [], []
-    for _, _, words in slices(table.column("text"), lower=True):
+    for _, _, words in slices(table.column("text"), lower=True, size=SLICE):
         n = len(words.counts)
         out = np.full(len(words.starts) + n, END, np.uint64)
         out[np.arange(len(words.starts)) + words.owner()] = words.hashes()
@@ -97,13 +116,12 @@ class Automaton:
         return out
 
 
-def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", order: int = 2, least: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``learn`` is true (null: not). Tokens are the words with A-Z lower-cased, then one end;
     null and empty texts are just the end. ``base_score`` adds log10 P(token), ``score`` is the automaton's, of ``order`` 2 or
-    3, whose arcs occur ``least`` times or more in training (1: nothing is dropped). Rows that
-    repeat count each time. Without training rows every token has the same unigram probability of one. Other
+    3; every n-gram of the training texts is an arc. Rows that repeat count each time. Without training rows every token has the same unigram probability of one. Other
     columns are ignored.
     """
     if order not in (2, 3):
@@ -141,7 +159,6 @@ def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str
     def totals(own, spread, columns, answers):
         """Totals over all chunks by column and key, and whether the chunk owns the key."""
         out, owned = np.stack(columns), np.ones(len(own), bool)
-        out[:, out[0] < least] = 0
         out[:, spread], owned[spread] = ledger.read(own[spread], answers, len(columns), shift)
         return out, owned
 
@@ -151,10 +168,8 @@ def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str
         (count,), owned = totals(own, spread, [own_here], kind(answers, 1))
         origin, target = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
         origin[at], target[at] = pair_at[inner - 1], pair_at[inner]
-        mine = owned & (count > 0)
-        arcs = np.bincount(origin[mine], minlength=len(pairs)).astype(np.int64)
-        mass = np.bincount(origin[mine], count[mine], minlength=len(pairs)).astype(np.int64)
-        return count, origin, target, [here, arcs, mass]
+        arcs = np.bincount(origin[owned & (count > 0)], minlength=len(pairs)).astype(np.int64)
+        return count, origin, target, [here, arcs]
 
     def send_trigrams(chunk, table, answers):
         own, _, here, spread = grams(table, answers)[4][1]
@@ -173,8 +188,8 @@ def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str
 
     told = estimated.withColumn("kind", F.lit(0))
     if order > 2:
-        told = told.unionByName(told_by(answered(send_trigrams, 1, least, "trigrams"), 1))
-    told = told.unionByName(told_by(answered(send_pairs, 3, least, "bigrams"), 2))
+        told = told.unionByName(told_by(answered(send_trigrams, 1, 1, "trigrams"), 1))
+    told = told.unionByName(told_by(answered(send_pairs, 2, 1, "bigrams"), 2))
 
     def contexts(table, answers):
         """Words and their places, trigrams and bigrams with totals, and where bigrams start and end."""
@@ -182,7 +197,7 @@ def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str
         three = longer(inner, found, answers)
         own, place, _, spread = found[0]
         two, owned = totals(own, spread, three[3], kind(answers, 2))
-        word, at = np.unique(np.append(token, START), return_inverse=True)
+        word, at = placed(np.append(token, START))
         at_start, at = int(at[-1]), at[:-1]
         from_place = np.empty(len(token), np.int64)
         from_place[1:] = at[:-1]
@@ -192,29 +207,27 @@ def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str
         return word, at, from_place, at_start, first, learns, inner, found, three, two, owned, origin, target
 
     def send_words(chunk, table, answers):
-        word, at, from_place, _, _, learns, _, _, _, (count, _, _), owned, origin, _ = contexts(table, answers)
+        word, at, from_place, _, _, learns, _, _, _, (count, _), owned, origin, _ = contexts(table, answers)
         n = np.bincount(at, learns, minlength=len(word)).astype(np.int64)
         left = np.bincount(from_place, learns, minlength=len(word)).astype(np.int64)
-        mine = owned & (count > 0)
-        arcs = np.bincount(origin[mine], minlength=len(word)).astype(np.int64)
-        mass = np.bincount(origin[mine], count[mine], minlength=len(word)).astype(np.int64)
-        yield ledger.send(chunk, word, [n, left, arcs, mass], shift)
+        arcs = np.bincount(origin[owned & (count > 0)], minlength=len(word)).astype(np.int64)
+        yield ledger.send(chunk, word, [n, left, arcs], shift)
 
-    words = answered(send_words, 4, 0, "words")
+    words = answered(send_words, 3, 0, "words")
     sizes = words.where("chunk = -1").agg(F.sum("n_keys"), F.sum("total")).first()
     distinct, trained = sizes[0] or 0, sizes[1] or 0
     told = told.unionByName(told_by(words, 3))
 
     def score(chunk, table, answers):
         word, at, _, at_start, first, _, inner, found, three, two, _, origin, target = contexts(table, answers)
-        (n, left, arcs, mass), _ = ledger.read(word, kind(answers, 3), 4, shift)
+        (n, left, arcs), _ = ledger.read(word, kind(answers, 3), 3, shift)
         p = (n + ADDED) / (trained + ADDED * (distinct + 1))
+        over = kept_back(arcs, left)
         left = np.maximum(left, 1)
-        over = 1 - (mass - DISCOUNT * arcs) / left
-        count, pair_arcs, pair_mass = two
+        count, pair_arcs = two
         p_pair = over[origin] * p[target] + np.where(count > 0, (count - DISCOUNT) / left[origin], 0.0)
+        pair_over = kept_back(pair_arcs, count)
         pair_left = np.maximum(count, 1)
-        pair_over = 1 - (pair_mass - DISCOUNT * pair_arcs) / pair_left
         often, pair_origin, pair_target, _ = three
         p_three = pair_over[pair_origin] * p_pair[pair_target] + np.where(often > 0, (often - DISCOUNT) / pair_left[pair_origin], 0.0)
         automaton = Automaton(np.log10(p), np.log10(over), np.log10(p_pair), np.log10(pair_over), np.log10(p_three))

@@ -184,7 +184,7 @@ LOWER_WORDS_SQL = WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(te
 @query("op6_lm_scoring")
 def op6(spark, sf_dir):
     held = held_out(folds=10, fold=0)
-    scores = lm_scores(table(spark, sf_dir, "documents"), ~held, order=3, least=1)
+    scores = lm_scores(table(spark, sf_dir, "documents"), ~held, order=3)
     return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
