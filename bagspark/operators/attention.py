@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bagspark.functions.ordinal import sigmoid
+from bagspark.session import materialise
 from bagspark.skew import attach_stats, extreme_rows, order_statistics, percentiles
 from bagspark.sources.layout import Layout, beside_patches
 
@@ -108,6 +109,7 @@ def attention_to_grid(
     cells = attn.groupBy(
         "slide_id", F.floor(F.col("y") / step).alias("cy"), F.floor(F.col("x") / step).alias("cx")
     ).agg(F.avg("alpha").alias("mean"))
+    cells = materialise(cells, "cells")  # read for their bounds, values and extent
     lo, hi = percentile_clip
     bounds = percentiles(cells, ["slide_id"], "mean", {"lo": lo / 100, "hi": hi / 100})
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
@@ -160,7 +162,7 @@ def attention_informative(
     ``slides`` adds slides without any patch. The top share needs only the k-th largest value: what
     lies above it, plus the missing number of copies of it.
     """
-    share = F.greatest(F.floor(F.col("n") / 100), F.lit(1))
+    attn = materialise(attn.select("slide_id", "patch_idx", "alpha"), "attention")  # read three times
     totals = attn.groupBy("slide_id").agg(_size(), F.sum("alpha").alias("_total"))
     kth = order_statistics(
         attn, ["slide_id"], "alpha", {"_kth": lambda n: n - F.greatest(F.floor(n / 100), F.lit(1)) + 1}

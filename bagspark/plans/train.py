@@ -8,24 +8,29 @@ and tasks are independent Spark jobs and run side by side.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagspark.functions import ordinal
+from bagspark.functions.hashing import hash_uniform
 from bagspark.operators.attention import mean_pool
 from bagspark.operators.cohort import CohortError, check_cohort
 from bagspark.operators.history import median_prune
 from bagspark.operators.metrics import aggregate_folds, corrected_resampled_t, grading_metrics
 from bagspark.operators.pooling import pooling_statistics
+from bagspark.plans.scoring import _matrix
 from bagspark.session import materialise
-from bagspark.skew import attach_stats, extreme_rows
+from bagspark.skew import extreme_rows
+from bagspark.sources.layout import Layout, beside_patches
 
 
 @dataclass(frozen=True)
@@ -221,14 +226,42 @@ def tune(
     return joined.withColumn("best", F.col("trial") == F.col("_best")).drop("_one", "_best")
 
 
+FIT_ROWS = 200_000
+"""About so many labelled patches, chosen by a hash of their keys, fit the patch classifier. All patches are scored."""
+
+
+def _instance_scores(patches: DataFrame, fits: Sequence[LogisticRegressionModel]) -> DataFrame:
+    """(slide_id, patch_idx, scores): the expected grade of every patch by every classifier, from one pass over the vectors."""
+    layers = [(m.coefficientMatrix.toArray(), m.interceptVector.toArray()) for m in fits]
+    kinds = {f.name: f.dataType.simpleString() for f in patches.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, out = _matrix(batch.column("features")), []
+            for weights, bias in layers:
+                z = x @ weights.T + bias
+                e = np.exp(z - z.max(axis=1, keepdims=True))
+                out.append((e / e.sum(axis=1, keepdims=True)) @ np.arange(len(bias)))
+            scores = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(out, axis=1).ravel()), len(layers)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("slide_id"), batch.column("patch_idx"), scores], ["slide_id", "patch_idx", "scores"])
+
+    narrow = patches.select("slide_id", "patch_idx", "features")
+    return narrow.mapInArrow(run, f"slide_id {kinds['slide_id']}, patch_idx {kinds['patch_idx']}, scores array<double>")
+
+
 def instance_pool(
     patches: DataFrame, splits: DataFrame, fraction: float = 0.10, mode: str = "top", n_classes: int = 3,
-    options: FitOptions = FitOptions(),
+    options: FitOptions = FitOptions(), layout: Layout | None = None, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """Out-of-fold predictions when slides are pooled by a patch classifier fit on the training folds. Dev subjects without patches are an error.
 
     Patches inherit the label of their slide; the classifier's expected grade ranks them. ``mode``
     "top" averages the best share of each slide, "softmax" weights all patches by exp(score).
+
+    The classifiers are fit on about ``fit_rows`` patches of dev slides. The store is scored in place, all folds in one pass, and only
+    (slide, patch, scores) are written; with the ``layout`` of a bucketed table the weights that follow are sent to the vectors.
     """
     if mode not in ("top", "softmax"):
         raise ValueError("mode must be 'top' or 'softmax'")
@@ -238,34 +271,33 @@ def instance_pool(
     absent = bags.where("n IS NULL").select("slide_id").limit(5).collect()
     if absent:
         raise CohortError(f"dev subjects without features, e.g. {[r[0] for r in absent]}")
-    rows = attach_stats(patches.select("slide_id", "patch_idx", "features"), bags, ["slide_id"], ["patch_idx"]).select(
-        "slide_id", "patch_idx", "label", "fold", array_to_vector(F.col("features").cast("array<double>")).alias("features")
-    )
-    rows = materialise(rows, "instances")
+    rate = min(1.0, fit_rows / max(bags.agg(F.sum("n")).first()[0] or 0, 1))
+    chosen = patches.where(hash_uniform("instances", "slide_id", "patch_idx") < rate).select("slide_id", array_to_vector(F.col("features").cast("array<double>")).alias("features"))
+    sample = materialise(chosen.join(bags.drop("n"), "slide_id"), "fit_sample")
+    folds = _folds(splits)
 
-    def pool(fold: int) -> DataFrame:
-        fit = LogisticRegression(
+    def fit(fold: int) -> LogisticRegressionModel:
+        return LogisticRegression(
             featuresCol="features", labelCol="label", family="multinomial", maxIter=options.max_iter, regParam=options.reg_param
-        ).fit(rows.where(F.col("fold") != fold))
-        scored = fit.transform(rows).select(
-            "slide_id", "patch_idx", "label", "fold", "features",
-            ordinal.expected_grade(vector_to_array("probability")).alias("score"),
-        )
-        if mode == "top":
-            size = lambda n: F.greatest(F.floor(n * F.lit(fraction)), F.lit(1))
-            best = extreme_rows(scored.drop("features"), ["slide_id"], "score", "patch_idx", size)
-            scored = scored.join(best.select("slide_id", "patch_idx"), ["slide_id", "patch_idx"], "left_semi")
-            weight = F.lit(1.0)
-        else:
-            weight = F.exp("score")
-        return scored.groupBy("slide_id", "label", "fold").agg(Summarizer.mean(F.col("features"), weight).alias("features"))
+        ).fit(sample.where(F.col("fold") != fold))
 
+    with ThreadPool(min(options.parallelism, len(folds))) as pool:
+        fits = pool.map(fit, folds)
+    scored = materialise(_instance_scores(patches, fits).join(bags.select("slide_id"), "slide_id", "left_semi"), "instance_scores")
+    if mode == "top":
+        size = lambda n: F.greatest(F.floor(n * F.lit(fraction)), F.lit(1))
+        long = scored.select("slide_id", "patch_idx", F.posexplode("scores").alias("k", "score"))
+        best = extreme_rows(long, ["slide_id", "k"], "score", "patch_idx", size)
+        taken = best.groupBy("slide_id", "patch_idx").agg(F.collect_set("k").alias("_k"))  # one entry per fold at most
+        weights = taken.select("slide_id", "patch_idx", F.transform(F.sequence(F.lit(0), F.lit(len(folds) - 1)), lambda k: F.array_contains("_k", k).cast("double")).alias("weights"))
+    else:
+        weights = scored.select("slide_id", "patch_idx", F.transform("scores", lambda s: F.exp(s)).alias("weights"))
+    vector = array_to_vector(F.col("features").cast("array<double>"))
+    each = [Summarizer.mean(vector, F.get("weights", F.lit(k))).alias(f"bag{k}") for k in range(len(folds))]
+    pooled = materialise(beside_patches(patches, weights, layout).groupBy("slide_id").agg(*each).join(bags.drop("n"), "slide_id"), "instance_bags")
     parts = None
-    for fold in _folds(splits):
-        pooled = materialise(pool(fold), "instance_bags")
-        score = fit_corn(pooled.where(F.col("fold") != fold), n_classes, options)
-        part = score(pooled.where(F.col("fold") == fold))
+    for k, fold in enumerate(folds):
+        rows = pooled.select("slide_id", "label", "fold", F.col(f"bag{k}").alias("features"))
+        part = _fold_predictions(rows, fold, n_classes, options)
         parts = part if parts is None else parts.unionByName(part)
-    return parts.select(
-        "slide_id", "fold", F.col("label").alias("y_true"), ordinal.corn_predict("cumulative", n_classes=n_classes).alias("y_pred"), "cumulative"
-    )
+    return parts

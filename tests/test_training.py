@@ -91,3 +91,22 @@ def test_instances_of_absent_subjects_are_an_error(cohort):
     patches, splits = cohort
     with pytest.raises(CohortError, match="without features"):
         T.instance_pool(patches.where("slide_id > 30"), splits, options=FAST)
+
+
+def test_instances_are_pooled_in_place(spark, cohort, monkeypatch):
+    """Every pooled bag against numpy from the fitted scores, and no vector written but the sample that fits."""
+    patches, splits = cohort
+    written = []
+    monkeypatch.setattr(T, "materialise", lambda df, name="stage": written.append((name, df.columns)) or materialise(df, name))
+    top = T.instance_pool(patches, splits, 0.5, "top", options=FAST)
+    soft = T.instance_pool(patches, splits, 0.5, "softmax", options=FAST, fit_rows=100)
+    assert grading_metrics(top).first()["qwk"] > 0.7 and grading_metrics(soft).first()["qwk"] > 0.7
+    assert top.count() == splits.where("NOT is_test").count() == soft.select("slide_id").distinct().count()
+    assert {name for name, columns in written if "features" in columns} == {"fit_sample"}
+    fit = T.LogisticRegression(family="multinomial", maxIter=5).fit(
+        patches.select(T.array_to_vector(F.col("features").cast("array<double>")).alias("features"), (F.col("slide_id") % 3).alias("label"))
+    )
+    scores = {(r[0], r[1]): r[2][0] for r in T._instance_scores(patches, [fit]).collect()}
+    scored = fit.transform(patches.select("slide_id", "patch_idx", T.array_to_vector(F.col("features").cast("array<double>")).alias("features")))
+    for r in scored.collect():
+        assert abs(scores[r["slide_id"], r["patch_idx"]] - sum(k * p for k, p in enumerate(r["probability"]))) < 1e-9
