@@ -59,6 +59,26 @@ def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], rank[found.indices.to_numpy()]
 
 
+def runs_of(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, how often each occurs) of sorted ones."""
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+    return ordered[starts], np.diff(np.append(starts, len(ordered)))
+
+
+def tallied(keys: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rising distinct keys, how often each occurs, how often among those in use) where the place of each key is not asked for."""
+    own, times = runs_of(np.sort(keys))
+    used, n = runs_of(np.sort(keys[use]))
+    here = np.zeros(len(own), np.int64)
+    here[np.searchsorted(own, used)] = n
+    return own, times, here
+
+
+def elsewhere(estimate: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Whether a key may occur in other chunks too."""
+    return (estimate > times) | (estimate == sketch.TOP)
+
+
 def kept_back(arcs: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The share that a state leaves to its failure arc."""
     return np.where(arcs > 0, DISCOUNT * arcs / np.maximum(left, 1), 1.0)
@@ -151,7 +171,7 @@ def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str
         seen = [np.unique(k, return_inverse=True, return_counts=True) for k in keys]
         estimate = sketch.estimates([np.concatenate([own for own, _, _ in seen])], kind(answers, 0), bits)
         found = [
-            (own, at, np.bincount(at, use, minlength=len(own)).astype(np.int64), (e > times) | (e == sketch.TOP))
+            (own, at, np.bincount(at, use, minlength=len(own)).astype(np.int64), elsewhere(e, times))
             for (own, at, times), e, use in zip(seen, np.split(estimate, [len(seen[0][0])]), (learns, learns[inner]))
         ]
         return token, first, learns, inner, found
@@ -172,7 +192,10 @@ def lm_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str
         return count, origin, target, [here, arcs]
 
     def send_trigrams(chunk, table, answers):
-        own, _, here, spread = grams(table, answers)[4][1]
+        _, _, learns, inner, keys = look(table)
+        pairs, (own, times, here) = runs_of(np.sort(keys[0]))[0], tallied(keys[1], learns[inner])
+        estimate = sketch.estimates([np.concatenate([pairs, own])], kind(answers, 0), bits)
+        spread = elsewhere(estimate[len(pairs) :], times)
         yield ledger.send(chunk, own[spread], [here[spread]], shift)
 
     def send_pairs(chunk, table, answers):
