@@ -351,15 +351,17 @@ def pooling_statistics(patches: DataFrame, fraction: float = 0.10, clustered: bo
     ).withColumn("_norm", l2_norm(F.col("features")))
     placed = normed if clustered else normed.sortWithinPartitions("slide_id")
     parts = materialise(accumulated(placed, fraction), "accumulators")
-    cut = materialise(parts.groupBy("slide_id").agg(F.count(F.lit(1)).alias("_parts")).where("_parts > 1").select("slide_id"), "cut")
+    cut = parts.groupBy("slide_id").agg(F.count(F.lit(1)).alias("_parts")).where("_parts > 1").select("slide_id")
+    none_cut = cut.isEmpty()
+    cut = cut if none_cut else materialise(cut, "cut")
 
     def there(value):
         return F.transform(F.arrays_zip("cnt", "mean", "max", "m2"), lambda s: F.when(s["cnt"] > 0, value(s)))
 
     std = there(lambda s: F.sqrt(s["m2"] / s["cnt"])).alias("std")
-    single = parts.join(cut, "slide_id", "left_anti").select(
+    single = (parts if none_cut else parts.join(cut, "slide_id", "left_anti")).select(
         "slide_id", there(lambda s: s["mean"]).alias("mean"), there(lambda s: s["max"]).alias("max"), "p90", std, "top", "bottom"
     )
-    wide = single if cut.isEmpty() else single.unionByName(cut_slides(placed, parts.join(cut, "slide_id", "left_semi"), fraction))
+    wide = single if none_cut else single.unionByName(cut_slides(placed, parts.join(cut, "slide_id", "left_semi"), fraction))
     rows = wide.select("slide_id", F.posexplode(F.arrays_zip(*STATISTICS)).alias("dim", "s"))
     return rows.select("slide_id", "dim", *[F.col(f"s.{c}").alias(c) for c in STATISTICS])

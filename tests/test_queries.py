@@ -13,7 +13,7 @@ SOME = [
     "read_catalog", "seed_from_prior", "plan_budget", "stratified_kfold", "split_invariants", "ensemble_predict", "grading_metrics",
     "selective_prediction", "verify_cohort", "expected_width", "pooling_statistics", "top_regions", "attention_informative",
     "branch_diversity", "pairwise_maps", "gated_scores", "slide_bags", "sample_subbag", "bag_mixup_targets", "median_prune",
-    "progress_summary", "build_tiles",
+    "progress_summary", "build_tiles", "score_crops", "bucketed_bags", "store_inventory", "landed_files", "bootstrap_qwk_ci",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("BAGSPARK_ALL_QUERIES") else SOME
 
