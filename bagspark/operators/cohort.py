@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagspark.skew import attach_stats
@@ -181,14 +181,20 @@ def normalise_pixels(pixels: DataFrame, registry: DataFrame, encoder: str) -> Da
 
 
 def cls_mean_pool(tokens: DataFrame, n_prefix: int = 1) -> DataFrame:
-    """Per tile: the CLS token followed by the mean of the tokens after the prefix."""
-    vec = array_to_vector(F.col("features").cast("array<double>"))
-    is_patch = F.when(F.col("token") >= n_prefix, 1.0).otherwise(0.0)
-    pooled = tokens.groupBy("tile_id").agg(
-        F.max_by("features", -F.col("token")).cast("array<double>").alias("_cls"),
-        Summarizer.mean(vec, is_patch).alias("_mean"),
-    )
-    return pooled.select("tile_id", F.concat("_cls", vector_to_array("_mean")).alias("features"))
+    """Per tile: the CLS token followed by the mean of the tokens after the prefix.
+
+    A tile without one of the two has nulls in that half. Null vectors are no tokens.
+    """
+    there = tokens.where(F.col("features").isNotNull())
+    values = F.col("features").cast("array<double>")
+    cls = there.where("token = 0").groupBy("tile_id").agg(F.max(values).alias("_cls"))
+    means = there.where(F.col("token") >= n_prefix).groupBy("tile_id").agg(Summarizer.mean(array_to_vector(values), F.lit(1.0)).alias("v"))
+    pooled = cls.join(means.select("tile_id", vector_to_array("v").alias("_mean")), "tile_id", "full")
+
+    def half(name: str, other: str) -> Column:
+        return F.coalesce(name, F.transform(other, lambda v: F.lit(None).cast("double")))
+
+    return pooled.select("tile_id", F.concat(half("_cls", "_mean"), half("_mean", "_cls")).alias("features"))
 
 
 def encode_tiles(

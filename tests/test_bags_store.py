@@ -157,6 +157,13 @@ def test_token_pooling_keeps_cls_first(spark):
         assert np.allclose(r["features"], np.r_[x[r["tile_id"], 0], x[r["tile_id"], 1:].mean(0)], atol=1e-6)
 
 
+def test_tiles_without_cls_or_patch_tokens_are_pooled(spark):
+    rows = [(1, 0, [1.0, 2.0]), (2, 1, [3.0, 4.0]), (2, 3, [5.0, 8.0]), (3, 0, [0.5, 0.0]), (3, 1, None), (4, 0, None), (4, 2, [1.0, 1.0])]
+    out = K.cls_mean_pool(spark.createDataFrame(rows, "tile_id bigint, token bigint, features array<float>")).collect()
+    none = [None, None]
+    assert {r["tile_id"]: r["features"] for r in out} == {1: [1.0, 2.0, *none], 2: [*none, 4.0, 6.0], 3: [0.5, 0.0, *none], 4: [*none, 1.0, 1.0]}
+
+
 def test_sparse_patch_ids_are_cropped_by_position(spark):
     df = spark.createDataFrame([(1, 1000 * k) for k in range(25)] + [(2, 7)], "slide_id bigint, patch_idx bigint")
     out = B.crop_index(df, 10).orderBy("slide_id", "patch_idx").collect()
