@@ -78,11 +78,24 @@ def sized_grid(geom: DataFrame) -> DataFrame:
     return geom.withColumns({"_nx": count("w0"), "_ny": count("h0")})
 
 
+STRIPE_TILES, TASK_TILES = 100_000, 1_000_000
+"""About so many tiles are listed from one row of geometry, and by one task."""
+
+
 def tile_grid(geom: DataFrame) -> DataFrame:
-    """One row per non-overlapping tile that lies fully inside, at least one per slide."""
+    """One row per non-overlapping tile that lies fully inside, at least one per slide.
+
+    A small table of slides lists many tiles, so slides, and stripes of large ones, are dealt to tasks by the number of tiles first.
+    """
     step = F.greatest("level0_px", F.lit(1))
     sized = sized_grid(geom)
-    rows = sized.withColumn("_iy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ny") - 1)))
+    deep = F.greatest(F.floor(F.lit(STRIPE_TILES) / F.col("_nx")), F.lit(1))
+    cut = sized.withColumn("_rows", deep).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ny") - 1, F.col("_rows"))))
+    n_tiles = sized.agg(F.sum(F.col("_nx") * F.col("_ny"))).first()[0] or 0
+    parallel = geom.sparkSession.sparkContext.defaultParallelism
+    dealt = cut.repartition(max(parallel, -(-n_tiles // TASK_TILES)), "slide_id", "_from") if n_tiles > TASK_TILES else cut
+    last = F.least(F.col("_from") + F.col("_rows"), F.col("_ny")) - 1
+    rows = dealt.withColumn("_iy", F.explode(F.sequence(F.col("_from"), last)))
     cells = rows.withColumn("_ix", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nx") - 1)))
     return cells.select(
         "slide_id", (F.col("_iy") * F.col("_nx") + F.col("_ix")).alias("tile_idx"),
@@ -91,21 +104,46 @@ def tile_grid(geom: DataFrame) -> DataFrame:
     )
 
 
+BLOCK = 64
+"""Side of the blocks of a mask: one word of bits per line of a block."""
+
+
+def mask_blocks(mask: DataFrame) -> DataFrame:
+    """(slide_id, _by, _bx, _lines): the kept pixels of each block of 64 x 64, as a map from line to a word of bits."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(x, {BLOCK}) AS int))")
+    words = mask.where("keep").groupBy("slide_id", F.col("y").cast("bigint").alias("_y"), F.floor(F.col("x") / BLOCK).alias("_bx")).agg(
+        F.bit_or(bit).alias("_word")
+    )
+    lines = F.map_from_entries(F.collect_list(F.struct("_y", "_word")))
+    return words.groupBy("slide_id", F.floor(F.col("_y") / BLOCK).alias("_by"), "_bx").agg(lines.alias("_lines"))
+
+
 def tile_pixel_join(tiles: DataFrame, mask: DataFrame) -> DataFrame:
     """(slide_id, tile_idx, y, x, keep): every thumbnail pixel under a tile with its mask value.
 
-    Each tile lists its pixel window (at least one pixel, clipped to the thumbnail), so the range
-    condition becomes an equi-join on the pixel. Pixels without a mask row count as not kept.
+    Each tile has a pixel window (at least one pixel, clipped to the thumbnail) and is joined with the blocks of the mask
+    that it touches; pixels are listed after the join. Pixels without a mask row count as not kept.
     """
-    def span(at: str, limit: str) -> Column:
-        lo = _start(F.col(at))
-        hi = F.least(lo + _side(), F.col(limit)) - 1
-        return F.when(lo <= hi, F.sequence(lo, hi))
-
-    rows = tiles.select("slide_id", "tile_idx", span("x", "thumb_w").alias("_xs"), F.explode(span("y", "thumb_h")).alias("y"))
-    cells = rows.select("slide_id", "tile_idx", "y", F.explode("_xs").alias("x"))
-    return cells.join(mask.select("slide_id", "y", "x", "keep"), ["slide_id", "y", "x"], "left").select(
-        "slide_id", "tile_idx", "y", "x", F.coalesce("keep", F.lit(False)).alias("keep")
+    last = {n: F.least(_start(F.col(n)) + _side(), F.col(f"thumb_{s}")) - 1 for n, s in (("x", "w"), ("y", "h"))}
+    windows = tiles.select(
+        "slide_id", "tile_idx", *[_start(F.col(n)).alias(f"_{n}0") for n in "xy"], *[last[n].alias(f"_{n}1") for n in "xy"]
+    ).where("_x0 <= _x1 AND _y0 <= _y1")
+    for n in "yx":
+        at = F.sequence(F.floor(F.col(f"_{n}0") / BLOCK), F.floor(F.col(f"_{n}1") / BLOCK))
+        windows = windows.withColumn(f"_b{n}", F.explode(at))
+    met = windows.join(mask_blocks(mask), ["slide_id", "_by", "_bx"], "left")
+
+    def pixels(n: str) -> Column:
+        lo = F.greatest(F.col(f"_{n}0").cast("bigint"), F.col(f"_b{n}") * BLOCK)
+        hi = F.least(F.col(f"_{n}1").cast("bigint"), F.col(f"_b{n}") * BLOCK + (BLOCK - 1))
+        return F.sequence(lo, hi)
+
+    lines = met.select("slide_id", "tile_idx", pixels("x").alias("_xs"), "_lines", F.explode(pixels("y")).alias("y"))
+    lines = lines.select("slide_id", "tile_idx", "y", "_xs", F.coalesce(F.try_element_at("_lines", F.col("y")), F.lit(0)).alias("_word"))
+    cells = lines.select("slide_id", "tile_idx", "y", "_word", F.explode("_xs").alias("x"))
+    return cells.select(
+        "slide_id", "tile_idx", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
+        F.getbit("_word", F.pmod("x", F.lit(BLOCK)).cast("int")).cast("boolean").alias("keep"),
     )
 
 

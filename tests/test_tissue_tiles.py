@@ -153,3 +153,26 @@ def test_counting_from_pixels_equals_joining_windows(spark, thumb, step):
     assert slow == pytest.approx(fast) and len(slow) > 1
     kept = {(r["slide_id"], r["tile_idx"]): r["fraction"] for r in T.tissue_tiles(sized, mask, 0.5).collect()}
     assert kept == pytest.approx({k: v for k, v in slow.items() if v >= 0.5})
+
+
+def test_grid_is_dealt_to_tasks_by_tiles(spark, monkeypatch):
+    sized = T.tile_geometry(T.pick_level(T.resolve_mpp(geom(spark, (0, 9000, 7000, [1.0], {}), (1, 100, 100, [1.0], {}), (2, 500, 5000, [1.0], {}))))).coalesce(1)
+    whole = sorted(T.tile_grid(sized).collect())
+    monkeypatch.setattr(T, "TASK_TILES", 20)
+    monkeypatch.setattr(T, "STRIPE_TILES", 50)
+    dealt = T.tile_grid(sized)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(dealt.collect()) == whole and len(sizes) > 2 and max(r["count"] for r in sizes) < len(whole) / 2
+
+
+def test_windows_across_mask_blocks(spark):
+    rng = np.random.default_rng(5)
+    kept = rng.random((150, 130)) < 0.5
+    mask = spark.createDataFrame([(7, y, x, bool(kept[y, x])) for y in range(150) for x in range(130)], "slide_id bigint, y int, x int, keep boolean")
+    bits = {(r["_by"], r["_bx"]): r["_lines"] for r in T.mask_blocks(mask).collect()}
+    assert all((bits[y // 64, x // 64].get(y, 0) >> x % 64) & 1 == kept[y, x] for y in range(150) for x in range(130))
+    tiles = spark.createDataFrame([(7, 0, 50, 60, 90, 0.5, 65, 75), (7, 1, 0, 0, 300, 0.5, 130, 150), (8, 0, 0, 0, 2, 1.0, 9, 1)],
+                                  "slide_id bigint, tile_idx bigint, x bigint, y bigint, level0_px int, thumb_ratio double, thumb_w int, thumb_h int")
+    got = {tuple(r) for r in T.tile_pixel_join(tiles, mask).collect()}
+    window = lambda t, ys, xs: {(7, t, y, x, bool(kept[y, x])) for y in ys for x in xs}
+    assert got == window(0, range(30, 75), range(25, 65)) | window(1, range(150), range(130)) | {(8, 0, 0, 0, False), (8, 0, 0, 1, False)}
