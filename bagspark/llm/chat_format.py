@@ -1,9 +1,8 @@
 """Chat formatting by prefix-target expansion: every assistant turn is an example of its own.
 
-An example's context is all turns before its target; only the target is trainable. A conversation is formatted
-once, turn by turn, and an example points into that text: context is the first ``context_chars`` characters, the
-trainable span is the target's text. So the prefixes, whose total length grows with the square of the number
-of turns, are never copied unless ``example_texts`` is asked for them.
+An example's context is all turns before its target, written out; only the text of the target is trainable. The
+contexts of a conversation add up to the square of its length; they are made one row at a time within a
+conversation, and the digests keep only what they read from them.
 
 Template: ``<|im_start|>`` role newline text ``<|im_end|>`` newline. A backslash escapes: inside texts and roles a
 backslash is doubled, and every control string gets a backslash after its first character, so none is left
@@ -51,34 +50,27 @@ def segments(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """One row per trainable segment: conv_id, turn, example (from 1), context_turns, context_chars, target (segment).
+    """One row per trainable segment: conv_id, turn, example (from 1), context (all segments before it), target (segment), and sizes.
 
     Turns are ordered by turn, then by their formatted text. ``trained_from`` and ``trained_to`` bound the
     trainable characters within context plus target: the text of the reply, without its marks.
     """
     order = W.partitionBy("conv_id").orderBy("turn", "segment")
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    sized = formatted.select(
-        "*", (F.row_number().over(order) - 1).alias("context_turns"), F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)).alias("context_chars"),
+    expanded = formatted.select(
+        "*", (F.row_number().over(order) - 1).alias("context_turns"), F.array_join(F.collect_list("segment").over(before), "").alias("context"),
         F.sum(F.col("trainable").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("example"),
-    )
-    return sized.where("trainable").select(
-        "conv_id", "turn", "example", "context_turns", "context_chars", F.col("segment").alias("target"),
+    ).where("trainable").withColumn("context_chars", F.length("context").cast("long"))
+    return expanded.select(
+        "conv_id", "turn", "example", "context_turns", "context_chars", "context", F.col("segment").alias("target"),
         (F.col("context_chars") + len(OPEN) + len("assistant") + 1).alias("trained_from"),
         (F.col("context_chars") + F.length("segment") - len(CLOSE) - 1).alias("trained_to"),
     )
 
 
 def example_texts(formatted: DataFrame) -> DataFrame:
-    """The examples with their context written out: conv_id, turn, example, context, target, for trainers that need plain texts.
-
-    The contexts of a conversation add up to the square of its length, so use it for conversations that fit a
-    training window.
-    """
-    order = W.partitionBy("conv_id").orderBy("turn", "segment")
-    context = F.array_join(F.collect_list("segment").over(order.rowsBetween(W.unboundedPreceding, -1)), "")
-    number = F.sum(F.col("trainable").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return formatted.select("conv_id", "turn", "trainable", number.alias("example"), context.alias("context"), F.col("segment").alias("target")).where("trainable").drop("trainable")
+    """The texts of ``examples`` alone, for trainers: conv_id, turn, example, context, target."""
+    return examples(formatted).select("conv_id", "turn", "example", "context", "target")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -90,11 +82,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def replies(expanded: DataFrame) -> DataFrame:
-    """(conv_id, turn, target, text, chars) of ``examples``: the trainable span taken back to text, and the length with its context."""
-    start, end = (F.col(c) - F.col("context_chars") for c in ("trained_from", "trained_to"))
+    """(conv_id, turn, target, text, chars) of ``examples``: the span under the loss mask, cut from context plus target and taken back to text, and the length of both."""
+    whole = F.concat("context", "target")
+    span = F.substr(whole, (F.col("trained_from") + 1).cast("int"), (F.col("trained_to") - F.col("trained_from")).cast("int"))
     return expanded.select(
-        "conv_id", "turn", "target", unescaped(F.substr("target", (start + 1).cast("int"), (end - start).cast("int"))).alias("text"),
-        (F.col("context_chars") + F.length("target")).cast("long").alias("chars"),
+        "conv_id", "turn", "target", unescaped(span).alias("text"), (F.col("context_chars") + F.length("target")).cast("long").alias("chars"),
     )
 
 

@@ -69,3 +69,14 @@ def test_digests_read_the_expanded_examples(spark, monkeypatch):
         monkeypatch.setattr(chat_format, "examples", lambda f: change(examples(f)))
         wrong = {r.conv_id: r for r in digests(formatted).collect()}
         assert set(wrong) == set(right) and wrong[1][column] != right[1][column], column
+
+
+def test_loss_spans_are_read_from_written_out_contexts(spark, monkeypatch):
+    """Examples hold the prefix itself, and a context that is wrong shows in the digests."""
+    formatted = segments(turns(spark, ROWS))
+    first = {(r.conv_id, r.example): r for r in examples(formatted).collect()}
+    assert first[1, 2].context.endswith(first[1, 1].target + "<|im_start|>user\n<|im_end|>\n") and first[3, 1].context == ""
+    assert all(len(r.context) == r.context_chars for r in first.values())
+    right = {r.conv_id: r for r in digests(formatted).collect()}
+    monkeypatch.setattr(chat_format, "examples", lambda f: examples(f).withColumn("context", F.expr("substr(context, 2)")))
+    assert {r.conv_id: r for r in digests(formatted).collect()}[1].loss_sha256 != right[1].loss_sha256
