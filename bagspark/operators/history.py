@@ -5,8 +5,10 @@ History rows are one per (run, fold, epoch): a group is as long as a training ru
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,13 +22,52 @@ def smooth_metric(history: DataFrame, window: int = 5, keys: Sequence[str] = RUN
     return history.withColumn("smoothed", F.percentile("metric", F.lit(0.5)).over(recent))
 
 
+def line_slopes() -> Callable[[np.ndarray], np.ndarray]:
+    """The function for least-squares slopes of the rows of a matrix over the positions 0, 1, ...
+
+    Moments are updated value by value, each product added before it is rounded: slopes that are a threshold in
+    exact arithmetic are common, and every caller has to round them alike. Made in a call, so that tasks get it by value.
+    """
+
+    def slopes(windows: np.ndarray) -> np.ndarray:
+        mean_x, mean_y, xx, xy = 0.0, np.zeros(len(windows)), 0.0, np.zeros(len(windows))
+        for i in range(windows.shape[1]):
+            y, dx = windows[:, i], i - mean_x
+            mean_x += dx / (i + 1)
+            mean_y = mean_y + (y - mean_y) / (i + 1)
+            xx += dx * (i - mean_x)
+            xy = (np.longdouble(dx) * (y - mean_y) + xy).astype("float64")
+        n = windows.shape[1]
+        return (xy / n) / (xx / n) if n > 1 else np.full(len(windows), np.nan)
+
+    return slopes
+
+
 def plateau_slope(history: DataFrame, window: int = 10, keys: Sequence[str] = RUN) -> DataFrame:
-    """Adds ``slope``: least squares over the last ``window`` smoothed values; null until enough."""
+    """Adds ``slope``: least squares over the last ``window`` smoothed values; null until enough.
+
+    Windows with nulls or values that are not finite are left to Spark's own regression.
+    """
+    slopes = line_slopes()
+
+    @F.pandas_udf("double")
+    def full_slope(windows: pd.Series) -> pd.Series:
+        out, full = np.full(len(windows), np.nan), windows.notna().to_numpy()
+        if full.any():
+            out[full] = slopes(np.stack(windows[full].to_list()))
+        return pd.Series(out)
+
     series = W.partitionBy(*keys).orderBy("epoch")
     recent = series.rowsBetween(1 - window, 0)
-    placed = history.withColumn("_pos", F.row_number().over(series))
-    slope = F.regr_slope(F.col("smoothed"), F.col("_pos").cast("double")).over(recent)
-    return placed.withColumn("slope", F.when(F.col("_pos") >= max(3, window), slope)).drop("_pos")
+    placed = history.withColumn("_pos", F.row_number().over(series)).withColumns(
+        {
+            "_values": F.collect_list("smoothed").over(recent),
+            "_slope": F.regr_slope(F.col("smoothed"), F.col("_pos").cast("double")).over(recent),
+        }
+    )
+    full = (F.size("_values") == window) & ~F.isnan("_slope")
+    slope = F.coalesce(full_slope(F.when(full, F.col("_values"))), "_slope")
+    return placed.withColumn("slope", F.when(F.col("_pos") >= max(3, window), slope)).drop("_pos", "_values", "_slope")
 
 
 def early_stopping(
