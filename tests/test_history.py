@@ -90,3 +90,43 @@ def test_weight_selection_needs_a_strict_gain(spark):
     rows = [(0, "best-epoch", 0.4), (0, "ema", 0.4), (1, "best-epoch", 0.4), (1, "ema", 0.5), (2, "best-epoch", 0.3)]
     out = {r["fold"]: r["selected"] for r in H.weight_selection(spark.createDataFrame(rows, "fold int, weights string, score double")).collect()}
     assert out == {0: "best-epoch", 1: "ema", 2: "best-epoch"}
+
+
+def test_slopes_at_the_threshold_are_decided_as_in_sql(spark):
+    """Ten values in hundredths whose exact slope is the limit: rounding decides, and must do so as the SQL does."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(7)
+    weights, runs = 2 * np.arange(10) - 9, []
+    while len(runs) < 300:
+        cents = rng.exponential(5000, 10).astype(int)
+        cents[9] += (8250 - cents @ weights) // 9
+        missing = 8250 - cents @ weights  # 0 to 8 ninths: made up by the pair (8, 9), whose weights are 7 and 9
+        cents[8] += (4 * missing) % 9
+        cents[9] += (missing - 7 * ((4 * missing) % 9)) // 9
+        if cents @ weights == 8250 and 0 <= cents.min() and cents.max() < 90_000:
+            runs.append([0.0] * 12 + [2.0] + [int(c) / 100 / 500 for c in cents])
+    rows = [(r, 0, e, v) for r, values in enumerate(runs) for e, v in enumerate(values, 1)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE h (run BIGINT, fold BIGINT, epoch INT, metric DOUBLE)")
+    con.executemany("INSERT INTO h VALUES (?, ?, ?, ?)", rows)
+    slopes = "SELECT run, epoch, abs(regr_slope(metric, epoch) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) < 0.001 AS flat FROM h"
+    want = dict(con.execute(f"SELECT run, flat FROM ({slopes}) s WHERE epoch = 23").fetchall())
+    assert 0 < sum(want.values()) < 300
+    history = materialise(spark.createDataFrame(rows, "run bigint, fold bigint, epoch int, metric double"))
+    batch = {r["run"]: r["reason"] == "plateau" for r in H.early_stopping(history, smooth_window=1).collect()}
+    assert batch == want
+    src = scratch_path(spark, "m")
+    history.write.parquet(src)
+    stream = M.stream_early_stop(spark.readStream.schema(history.schema).parquet(src), smooth_window=1)
+    online = M.drain(stream, scratch_path(spark, "d"), scratch_path(spark, "c")).where("epoch = 23").collect()
+    assert {r["run"]: r["reason"] == "plateau" for r in online} == want
+
+
+def test_slope_with_missing_and_unbounded_values(spark):
+    values = [0.1 * e for e in range(12)]
+    values[3], nan = None, [0.5] * 11 + [float("nan")]
+    rows = [(r, 0, e, v) for r, series in enumerate((values, nan)) for e, v in enumerate(series)]
+    out = H.plateau_slope(spark.createDataFrame(rows, "run bigint, fold bigint, epoch int, smoothed double")).collect()
+    at = {(r["run"], r["epoch"]): r["slope"] for r in out}
+    assert at[0, 8] is None and np.isclose(at[0, 9], 0.1) and np.isclose(at[0, 11], 0.1)
+    assert at[1, 9] == 0 and np.isnan(at[1, 11])
